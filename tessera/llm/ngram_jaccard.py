@@ -373,7 +373,7 @@ def _only(docs: DataFrame, ids: DataFrame, small: int) -> DataFrame:
 
 def signatures(docs: DataFrame, size: int, percent: int, universe: float, frequent: int) -> DataFrame:
     """doc_id, set size n, set digest h1 h2 and index keys of every document."""
-    parts = 4 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     return (
         docs.mapInArrow(_emit(size, percent, universe, parts), CELL)
         .groupBy("part").applyInArrow(_count(parts), CELL)
