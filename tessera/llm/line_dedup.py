@@ -325,7 +325,7 @@ def _near(edits: int):
 def gone_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000) -> DataFrame:
     """doc_id, number (from 0) of every line that goes; see ``dedup_lines``."""
     spark = documents.sparkSession
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     cells = materialize(
         docs.mapInArrow(_scan(edits, least, parts), CELL).groupBy("part").applyInArrow(_match(edits, parts), CELL)
