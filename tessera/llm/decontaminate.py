@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The gaps before A-Z are lower-cased, as a pattern and as their characters.
+MIXED_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP_CHARACTERS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,6 +30,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), GAPS), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has, without lower-casing it; a null text has none."""
+    inner = F.btrim(text, F.lit(GAP_CHARACTERS))
+    return F.when(inner != "", F.size(F.split(inner, MIXED_GAPS))).otherwise(0).cast("long")
+
+
 def _postings(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), term for every word."""
     return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
@@ -58,7 +65,7 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, *, window: int = 10
         terms.groupBy("item_id", "at", "size").agg(F.sort_array(F.collect_list(F.struct("off", "term"))).alias("w"))
         .select("item_id", "size", F.col("w.term").alias("w"))
     )
-    owners = materialize(spelled.select(F.sha2(F.concat_ws(" ", "w"), 256).alias("win"), "item_id", "size", "w"))
+    owners = materialize(spelled.select(F.xxhash64("w").alias("win"), "item_id", "size", "w"))
     distinct = owners.groupBy("win").agg(F.first("size").alias("size"), F.first("w").alias("w"))
     slots = distinct.select("win", "size", F.posexplode("w").alias("off", "term"))
     vocabulary = terms.select("term").distinct()
@@ -142,7 +149,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
         .groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
     counted = (
-        documents.where("doc_id is not null").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORDS)).cast("long"), F.lit(0).cast("long")).alias("n_words"))
+        documents.where("doc_id is not null").select("doc_id", word_count(F.col("text")).alias("n_words"))
         .groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     )
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))

@@ -13,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS = r"[^\x20\x09-\x0D]+"
+GAPS = r"[\x20\x09-\x0D]+"
+GAP_CHARACTERS = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
+    """The number of runs of other characters than blanks and \\x09-\\x0D; a null text has none."""
+    inner = F.btrim(text, F.lit(GAP_CHARACTERS))
+    return F.when(inner != "", F.size(F.split(inner, GAPS))).otherwise(0).cast("long")
 
 
 def size_class(size: Column) -> Column:
