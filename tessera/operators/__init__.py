@@ -1,0 +1 @@
+"""Operators that Spark has no single function for."""

@@ -1,0 +1 @@
+"""Catalogue queries by operator family."""

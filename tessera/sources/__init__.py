@@ -1,0 +1 @@
+"""Sources: directories of Parquet files as tables."""
