@@ -10,7 +10,7 @@ sql("agg_count_column", "SELECT n_regionkey, count(nullif(n_nationkey, 7)) AS n
 sql("agg_sum", "SELECT c_nationkey, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY c_nationkey")
 sql("agg_min_max", "SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY o_orderpriority")
 sql("agg_avg", "SELECT p_brand, round(avg(p_retailprice), 4) AS a FROM part GROUP BY p_brand")
-sql("agg_expression", "SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem GROUP BY l_suppkey")
+sql("agg_expression", "SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem GROUP BY l_suppkey")
 sql("agg_global", "SELECT count(*) AS n, round(sum(l_tax), 4) AS s, round(avg(l_discount), 6) AS a FROM lineitem")
 sql("agg_global_empty", "SELECT count(*) AS n, sum(l_tax) AS s, max(l_partkey) AS m FROM lineitem WHERE l_quantity < 0")
 sql("agg_decimal", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(15, 2))) AS DECIMAL(25, 2)) AS s, round(CAST(avg(CAST(l_quantity AS DECIMAL(15, 2))) AS DOUBLE), 4) AS a FROM lineitem GROUP BY l_returnflag")

@@ -19,13 +19,13 @@ sql("cte_values", "SELECT k, v FROM (VALUES (1, 'a'), (2, NULL), (NULL, 'c')) AS
 
 
 @query("""
-    WITH revenue AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem
+    WITH revenue AS (SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total FROM lineitem
                      WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
     SELECT s_suppkey, s_name, total FROM supplier JOIN revenue ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM revenue)""")
 def view_top_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("lineitem", "supplier"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     spark.sql("""
-        SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem
+        SELECT l_suppkey, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total FROM lineitem
         WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey""").createOrReplaceTempView("revenue")
     return spark.sql("SELECT s_suppkey, s_name, total FROM supplier JOIN revenue ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM revenue)")

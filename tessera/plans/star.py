@@ -10,7 +10,7 @@ sql("q2_best_supplier", """
       SELECT max(s2.s_acctbal) FROM lineitem l2 JOIN supplier s2 ON s2.s_suppkey = l2.l_suppkey WHERE l2.l_partkey = p_partkey)
     ORDER BY p_partkey, s_suppkey LIMIT 100""")
 sql("q3_shipping_priority", """
-    SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(o_orderdate AS DATE) AS day
+    SELECT l_orderkey, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue, CAST(o_orderdate AS DATE) AS day
     FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
       AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15'
     GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC NULLS LAST, l_orderkey LIMIT 10""")
@@ -18,15 +18,15 @@ sql("q4_order_priority", """
     SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01'
       AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40) GROUP BY o_orderpriority""")
 sql("q5_local_supplier", """
-    SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
+    SELECT n_name, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue FROM customer, orders, lineitem, supplier, nation, region
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
       AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01'
       AND o_orderdate < DATE '1997-01-01' GROUP BY n_name""")
 sql("q6_forecast_revenue", """
-    SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+    SELECT round(CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue FROM lineitem
     WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 sql("q7_volume_shipping", """
-    SELECT supp_nation, cust_nation, l_year, round(sum(volume), 0) AS revenue FROM (
+    SELECT supp_nation, cust_nation, l_year, round(CAST(sum(CAST(volume AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue FROM (
       SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, l_extendedprice * (1 - l_discount) AS volume
       FROM supplier, lineitem, orders, customer, nation n1, nation n2
       WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
@@ -39,12 +39,12 @@ sql("q8_market_share", """
       WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey
         AND n1.n_regionkey = r_regionkey AND r_name = 'EUROPE' AND s_nationkey = n2.n_nationkey AND p_size < 25) t GROUP BY o_year""")
 sql("q9_profit", """
-    SELECT n_name, CAST(year(o_orderdate) AS INT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1), 2) AS profit
+    SELECT n_name, CAST(year(o_orderdate) AS INT) AS o_year, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1 AS DECIMAL(18, 4))) AS DOUBLE), 4) AS profit
     FROM part, supplier, lineitem, orders, nation
     WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%ring%'
     GROUP BY n_name, year(o_orderdate)""")
 sql("q10_returned_items", """
-    SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name FROM customer, orders, lineitem, nation
+    SELECT c_custkey, c_name, round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue, n_name FROM customer, orders, lineitem, nation
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01'
       AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, n_name ORDER BY revenue DESC NULLS LAST, c_custkey LIMIT 20""")
 sql("q11_important_parts", """
@@ -80,7 +80,7 @@ sql("q18_large_orders", """
     WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 250) AND c_custkey = o_custkey AND o_orderkey = l_orderkey
     GROUP BY c_name, c_custkey, o_orderkey, o_totalprice ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 100""")
 sql("q19_disjunction", """
-    SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND (
+    SELECT round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND (
       (p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 6 AND 15 AND l_quantity BETWEEN 10 AND 20)
       OR (p_size BETWEEN 16 AND 30 AND l_quantity BETWEEN 20 AND 30 AND l_returnflag IN ('A', 'R')))""")
 sql("q20_part_promotion", """
@@ -98,7 +98,7 @@ sql("q22_sales_opportunity", """
       AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) GROUP BY c_nationkey""")
 sql("q1_pricing_summary", """
     SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 4) AS avg_qty, count(*) AS count_order
+           round(CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE), 4) AS sum_disc_price, round(avg(l_quantity), 4) AS avg_qty, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag NULLS LAST, l_linestatus NULLS LAST""")
 sql("q51_cumulative_full_join", """
     WITH a AS (SELECT user_id, CAST(ts AS DATE) AS d, sum(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY user_id, CAST(ts AS DATE)),
