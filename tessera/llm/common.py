@@ -44,11 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return hadoop.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, with the Parquet writer's ``options``, and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
