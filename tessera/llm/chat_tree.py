@@ -10,7 +10,7 @@ attention intervals: the parts of the pack that its ancestors and itself fill.
 The template is ``<turn role=ROLE>\\nTEXT</turn>\\n``. Inside a text, a backslash
 is doubled and a backslash is put before ``<turn`` and ``</turn``; inside a role,
 before backslash and ``>``. Reading is the exact inverse. Tokens are the UTF-8
-bytes, or what an encoder that maps text to ids makes of them.
+bytes of the formatted text.
 """
 
 from __future__ import annotations
@@ -103,35 +103,40 @@ class Pack:
 
 
 PACKS = (
-    "tokens array<int>, position_ids array<int>, loss_mask binary, "
-    "nodes array<struct<start:int,stop:int,parent:int,intervals:array<struct<start:int,stop:int>>>>, "
+    "tokens binary, loss_mask binary, "
+    "nodes array<struct<start:int,stop:int,parent:int,position:int,intervals:array<struct<start:int,stop:int>>>>, "
     "members array<struct<conv_id:long,node:int>>"
 )
 _INTERVAL = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-_NODE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("parent", pa.int32()), ("intervals", pa.list_(_INTERVAL))])
+_NODE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("intervals", pa.list_(_INTERVAL))])
 _MEMBER = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
 
 
-def _ints(a: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a.astype(np.int32), pa.int32()))
-
-
 def _batch(pack: Pack) -> pa.RecordBatch:
-    tokens = np.frombuffer(b"".join(pack.tokens), np.uint8)
-    positions = np.concatenate([np.arange(n.position, n.position + n.stop - n.start) for n in pack.nodes]) if pack.nodes else np.zeros(0)
     nodes = [
-        {"start": n.start, "stop": n.stop, "parent": n.parent, "intervals": [{"start": a, "stop": b} for a, b in n.intervals]}
+        {"start": n.start, "stop": n.stop, "parent": n.parent, "position": n.position, "intervals": [{"start": a, "stop": b} for a, b in n.intervals]}
         for n in pack.nodes
     ]
     members = [{"conv_id": c, "node": n} for c, n in pack.members]
+    bytes_of = lambda parts: pa.array([b"".join(parts)], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [_ints(tokens), _ints(positions), pa.array([b"".join(pack.mask)], pa.binary()), pa.array([nodes], pa.list_(_NODE)), pa.array([members], pa.list_(_MEMBER))],
-        ["tokens", "position_ids", "loss_mask", "nodes", "members"],
+        [bytes_of(pack.tokens), bytes_of(pack.mask), pa.array([nodes], pa.list_(_NODE)), pa.array([members], pa.list_(_MEMBER))],
+        ["tokens", "loss_mask", "nodes", "members"],
     )
 
 
+def with_position_ids(packs: DataFrame) -> DataFrame:
+    """``packs`` with position_ids: one id for each token, counting up along every branch from 0."""
+    ids = F.transform("nodes", lambda n: F.sequence(n["position"], n["position"] + n["stop"] - n["start"] - 1))
+    return packs.withColumn("position_ids", F.flatten(ids))
+
+
 def format_conversations(conversations: DataFrame, *, limit: int = 1 << 16, loss_role: str = "assistant") -> DataFrame:
-    """Packs: tokens, position_ids, loss_mask, nodes with attention intervals, and members (conv_id, last node).
+    """Packs: tokens, loss_mask, nodes with positions and attention intervals, and members (conv_id, last node).
+
+    A token is a byte of the formatted text. A node holds the position id of
+    its first token, and the ids count up inside it; ``with_position_ids``
+    writes them out.
 
     ``conversations`` has conv_id, turn, role and text, one row a turn; other
     columns are ignored. Turns go by turn number, nulls first, ties by role
@@ -176,7 +181,7 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 def read_packs(packs: DataFrame) -> DataFrame:
-    """Every member conversation as read back from the packs' tokens, masks and attention intervals.
+    """Every member conversation as read back from the packs' tokens, masks, positions and attention intervals.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline for each
     turn), loss_chars and loss_sha256 of the unescaped text under the mask,
@@ -186,16 +191,20 @@ def read_packs(packs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens, positions = (np.asarray(batch.column(c)[row].values) for c in ("tokens", "position_ids"))
-                data, mask = tokens.astype(np.uint8), np.frombuffer(batch.column("loss_mask")[row].as_py(), np.uint8)
+                data, mask = (np.frombuffer(batch.column(c)[row].as_py(), np.uint8) for c in ("tokens", "loss_mask"))
                 nodes, out = batch.column("nodes")[row].as_py(), []
                 for member in batch.column("members")[row].as_py():
                     spans = nodes[member["node"]]["intervals"] if member["node"] >= 0 else []
                     cuts = [slice(s["start"], s["stop"]) for s in spans]
                     joined = lambda a: np.concatenate([a[c] for c in cuts]) if cuts else a[:0]  # noqa: B023, E731
                     own, under = joined(data), joined(mask)
-                    if not np.array_equal(joined(positions), np.arange(len(own))):
-                        raise ValueError(f"position ids of conversation {member['conv_id']} don't count up")
+                    node, end = member["node"], len(own)
+                    while node >= 0:  # from the last node to the root, each begins where the one above ended
+                        n = nodes[node]
+                        end -= n["stop"] - n["start"]
+                        if n["position"] != end:
+                            raise ValueError(f"position ids of conversation {member['conv_id']} don't count up")
+                        node = n["parent"]
                     formatted = own.tobytes().decode()
                     turns = parse(formatted)
                     loss = unescape(own[under == 1].tobytes().decode())

@@ -72,9 +72,7 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    # the packs are stored, as a training run would; positions that count up take little room as differences
-    packs = materialize(format_conversations(rows), **{"compression": "zstd", "parquet.writer.version": "v2"})
-    return read_packs(packs)
+    return read_packs(materialize(format_conversations(rows)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
