@@ -52,6 +52,8 @@ from .components import connected_components
 
 CELL = "kind int, part long, cell binary"
 SET = "doc_id long, n long, h1 long, h2 long, tokens binary"
+#: A member's side in a job: left 0, right 1, or both.
+BOTH = 2
 SIGNATURE = "doc_id long, n long, h1 long, h2 long, keys array<long>"
 
 
@@ -312,11 +314,11 @@ def _verify(percent: int):
         side = table.column("side").to_numpy()
         cells = table.column("tokens").to_pylist()
         sets = [np.frombuffer(c, np.uint64) for c in cells]
-        rows = [np.flatnonzero(side == s) for s in (0, 1)]
+        rows = [np.flatnonzero((side == s) | (side == BOTH)) for s in (0, 1)]
         left, right = ([sets[i] for i in r] for r in rows)
         inter = overlaps(left, right)
         union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - inter
-        x, y = np.nonzero((100 * inter >= percent * union) & (union > 0))
+        x, y = np.nonzero((100 * inter >= percent * union) & (union > 0) & (rows[0][:, None] != rows[1][None, :]))
         a, b = ids[rows[0][x]], ids[rows[1][y]]
         parent: dict[int, int] = {}
 
@@ -460,23 +462,28 @@ def ngram_jaccard(
         .withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("c") / block)).cast("long"))
         .withColumn("sizes", F.floor(F.log2(F.col("n").cast("double")) * 4).cast("long"))
     )
-    # blocks pair up only with blocks whose sizes allow a link
-    span = open_rows.groupBy("head", "j", "sizes").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
-    outs = open_rows.where("out")
-    left = outs.select("head", "i", F.col("sizes").alias("s"), "doc_id")
-    left_blocks = left.select("head", "i", "s").distinct()
     reach = int(4 * math.log2(100 / percent)) + 1  # steps of sizes that linked sets may lie apart
-    pairs = left_blocks.join(span, "head").where(F.abs(F.col("s") - F.col("sizes")) <= reach)
+    # a small group is one job that gets each member once, without those of sizes that none outside can link with
+    few = F.col("c") <= block
+    wanted = open_rows.where(few & F.col("out")).groupBy("head").agg(F.collect_set("sizes").alias("outer"))
+    near_size = F.exists("outer", lambda s: F.abs(s - F.col("sizes")) <= reach)
+    whole = open_rows.where(few).join(wanted, "head").where(near_size).select(
+        F.struct("head", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")).alias("job"), "doc_id",
+        F.when(F.col("out"), BOTH).otherwise(1).alias("side"),
+    )
+    # in a large group, blocks pair up only with blocks whose sizes allow a link
+    large = open_rows.where(~few)
+    span = large.select("head", "j", "sizes").distinct()
+    left = large.where("out").select("head", "i", F.col("sizes").alias("s"), "doc_id")
+    pairs = left.select("head", "i", "s").distinct().join(span, "head").where(F.abs(F.col("s") - F.col("sizes")) <= reach)
     job = F.struct(F.col("head"), (F.col("i") * 4096 + F.col("s")).alias("i"), (F.col("j") * 4096 + F.col("sizes")).alias("j")).alias("job")
     pairs = pairs.select(job, "head", "i", "s", "j", "sizes")
     sides = (
-        pairs.join(left, ["head", "i", "s"]).select("job", "doc_id", F.lit(0).alias("side"))
-        .unionByName(pairs.join(open_rows.select("head", "j", "sizes", "doc_id"), ["head", "j", "sizes"]).select("job", "doc_id", F.lit(1).alias("side")))
+        whole.unionByName(pairs.join(left, ["head", "i", "s"]).select("job", "doc_id", F.lit(0).alias("side")))
+        .unionByName(pairs.join(large.select("head", "j", "sizes", "doc_id"), ["head", "j", "sizes"]).select("job", "doc_id", F.lit(1).alias("side")))
     )
     more = materialize(verified(sides))
-    label = connected_components(
-        links.unionByName(more)
-    )
+    label = connected_components(links.unionByName(more))
     named = classes.select("h1", "h2", "rep").join(
         label.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("h1", "h2", F.coalesce("component", "rep").alias("component"))
