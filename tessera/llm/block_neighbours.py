@@ -97,7 +97,8 @@ def top_of_tile(
         dots = sum((left[:, d : d + 1024] @ vc[part, d : d + 1024].T.astype(np.float32)).astype(np.float64) for d in dims)
         near = dots * qs[:, None] * vs[part][None, :]
         slack = qe[:, None] * vn[part][None, :] + qn[:, None] * ve[part][None, :] + qe[:, None] * ve[part][None, :]
-        slack = slack * (1 + 1e-9) + 1e-12 * (qn[:, None] * vn[part][None, :])
+        rounding = max(1e-12, 4 * np.finfo(float).eps * queries.shape[1])
+        slack = slack * (1 + 1e-9) + rounding * (qn[:, None] * vn[part][None, :])
         near[query_ids[:, None] == ids[part][None, :]] = -np.inf
         width = near.shape[1]
         if width > k:
@@ -107,7 +108,7 @@ def top_of_tile(
         alive = (near + slack >= floor[:, None]) & np.isfinite(near)
         for i in np.flatnonzero(alive.any(1)):
             rows = np.flatnonzero(alive[i]) + lo
-            scores = (vectors[rows] * queries[i]).sum(1)
+            scores = np.cumsum(vectors[rows] * queries[i], axis=1)[:, -1]  # in order of the components, whatever the engine
             best[i] = _merge(np.r_[best[i][0], ids[rows]], np.r_[best[i][1], scores], k)
             if len(best[i][0]) == k:
                 floor[i] = max(floor[i], best[i][1][-1])
