@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -56,6 +57,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` with the ``facts`` of their key, one row a key.
+
+    A key may hold a third of all rows, so the facts go to the parts of each
+    key that occur, dealt by the column ``spread``, and rows meet them there;
+    no task gets a whole key.
+    """
+    salted = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    spread_out = salted.select(key, "part").distinct().join(facts, key, how)
+    return salted.join(spread_out, [key, "part"], how).drop("part")
+
+
 # --- numpy columns in one binary cell ---------------------------------------
 
 

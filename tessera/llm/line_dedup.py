@@ -13,6 +13,13 @@ Segments and substrings are hashed from prefix sums over a batch of texts, and
 the line's characters; edits move it little, so that most false candidates end
 where they are found, before any text is fetched. Equal lines are one line
 throughout; a batch sends one entry for each of its distinct lines.
+
+Hot keys. One earlier line is proof enough, so a key that many lines share
+yields no pairs but those with its earliest few lines. Lines that this leaves
+standing are compared with the lines before them in jobs of bounded size, to
+which each line of the key brings its text once; a job stops at the first proof
+of a line and reports lines, not pairs. Entries carry their place, rounded but
+in order, to find the earliest.
 """
 
 from __future__ import annotations
@@ -24,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, constants, materialize, mix, pack, partitions, route, runs, split_by_part, unpack
+from .common import BASE, BASE_INVERSE, constants, join_salted, materialize, mix, pack, partitions, route, runs, split_by_part, unpack
 
 CELL = "kind int, part long, cell binary"
-ENTRY, PLACE, GONE, FIRST, PAIR = range(5)
+ENTRY, PLACE, GONE, FIRST, PAIR, OPEN = range(6)
+#: An entry of a key that many lines share, for the second round.
+OPENED = "key long, line long, histogram long, roles int"
 
 
 # --- edit distance --------------------------------------------------------------
@@ -204,7 +213,8 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
         key, ref, role = map(np.concatenate, (keys, refs, roles))
         # the lowest bit of a key tells probes from segments
         key = (key & ~np.uint64(1)) | role
-        for part, arrays in split_by_part(route(key >> np.uint64(1), parts), key, lines.hash[ref], histogram[ref]):
+        place = doc.astype(np.float32)  # rounding keeps the order, but for ties
+        for part, arrays in split_by_part(route(key >> np.uint64(1), parts), key, lines.hash[ref], histogram[ref], place[ref]):
             rows.append((ENTRY, 2 * parts + part, pack(*arrays)))
         return _cells(rows)
 
@@ -241,15 +251,21 @@ def _apart(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return total > 2 * most
 
 
-def _candidates(edits: int, key: np.ndarray, line: np.ndarray, histogram: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of lines that share a key as segment and probe and whose histograms are near, each once."""
-    order = np.lexsort((line, key))
-    key, line, histogram = key[order], line[order], histogram[order]
+def _candidates(
+    edits: int, key: np.ndarray, line: np.ndarray, histogram: np.ndarray, place: np.ndarray, full: int, pivots: int = 8,
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs of lines that share a key as segment and probe and whose histograms are near, each once; and what is open.
+
+    A key with more pairs than ``full`` for each of its entries yields only
+    those with its ``pivots`` earliest segments and probes, and its lines stay
+    open (arrays like ``OPENED``; roles has bit 1 for a segment, 2 for a probe).
+    """
+    order = np.lexsort((place, line, key))
+    key, line, histogram, place = key[order], line[order], histogram[order], place[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])] if len(key) else np.zeros(0, bool)
-    key, line, histogram = key[fresh], line[fresh], histogram[fresh]
+    key, line, histogram, place = key[fresh], line[fresh], histogram[fresh], place[fresh]
     starts, sizes = runs(key >> np.uint64(1))
-    mixed = sizes > 1
-    left, right = [], []
+    left, right, held = [], [], []
     # a key of one segment and few probes, the usual case, in one go
     for width in (2, 3):
         some = starts[sizes == width]
@@ -260,23 +276,69 @@ def _candidates(edits: int, key: np.ndarray, line: np.ndarray, histogram: np.nda
                 ok[ok] = ~_apart(histogram[i[ok]], histogram[j[ok]], edits)
                 left.append(line[i[ok]])
                 right.append(line[j[ok]])
-    for lo, n in zip(starts[mixed & (sizes > 3)].tolist(), sizes[mixed & (sizes > 3)].tolist(), strict=True):
+
+    def cross(i: np.ndarray, j: np.ndarray) -> None:
+        near = ~_apart(histogram[i][:, None], histogram[j][None, :], edits) & (line[i][:, None] != line[j][None, :])
+        x, y = np.nonzero(near)
+        left.append(line[i][x])
+        right.append(line[j][y])
+
+    for lo, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist(), strict=True):
         cut = lo + int(np.searchsorted(key[lo : lo + n] & np.uint64(1), 1))
-        for a in range(lo, cut, block):
-            for b in range(cut, lo + n, block):
-                i, j = slice(a, min(a + block, cut)), slice(b, min(b + block, lo + n))
-                near = ~_apart(histogram[i][:, None], histogram[j][None, :], edits) & (line[i][:, None] != line[j][None, :])
-                x, y = np.nonzero(near)
-                left.append(line[i][x])
-                right.append(line[j][y])
+        own, probes = np.arange(lo, cut), np.arange(cut, lo + n)
+        if len(own) * len(probes) <= full * n:
+            cross(own, probes)
+            continue
+        cross(own[np.argsort(place[own], kind="stable")[:pivots]], probes)
+        cross(own, probes[np.argsort(place[probes], kind="stable")[:pivots]])
+        held.append(np.arange(lo, lo + n))
     a = np.concatenate(left) if left else np.zeros(0, np.uint64)
     b = np.concatenate(right) if right else np.zeros(0, np.uint64)
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-    return pair[:, 0], pair[:, 1]
+    pairs = _pairs(a, b)
+    rows = np.concatenate(held) if held else np.zeros(0, np.int64)
+    rows = rows[np.lexsort((line[rows], key[rows] >> np.uint64(1)))]
+    home, own, role = key[rows] >> np.uint64(1), line[rows], 1 << (key[rows] & np.uint64(1)).astype(np.int32)
+    start = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (own[1:] != own[:-1])]) if len(rows) else rows
+    roles = np.add.reduceat(role, start) if len(rows) else role
+    return pairs, [home[start].view(np.int64), own[start].view(np.int64), histogram[rows[start]].astype(np.int64), roles.astype(np.int32)]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct unordered pairs, in two columns."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), a.dtype)
+
+
+def _standing(edits: int, block: int = 256, width: int = 4096):
+    """Lines of a job's side 0 that are near an earlier line of its side 1."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, line, doc, number, roles, size = (table.column(c).to_numpy() for c in ("side", "line", "doc_id", "number", "roles", "size"))
+        histogram, text = table.column("histogram").to_numpy().astype(np.uint32), table.column("text").chunk(0)
+        later, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        other, gone = other[np.lexsort((number[other], doc[other]))], []
+        for at in range(0, len(later), block):
+            left = later[at : at + block]
+            for to in range(0, len(other), width):
+                i, j = left[:, None], other[None, to : to + width]
+                ok = ((roles[i] & 1) & (roles[j] >> 1)) | ((roles[i] >> 1) & (roles[j] & 1)) > 0
+                ok &= (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (number[j] < number[i]))
+                ok &= np.abs(size[i] - size[j]) <= edits
+                ok &= ~_apart(histogram[i], histogram[j], edits)
+                near = np.zeros(len(left), bool)
+                for x in np.flatnonzero(ok.any(1)):
+                    own = text[int(left[x])].as_py()
+                    near[x] = any(within_edits(text[int(y)].as_py(), own, edits) for y in j[0, ok[x]])
+                gone.append(left[near])
+                left = left[~near]
+        found = np.concatenate(gone) if gone else np.zeros(0, np.int64)
+        return pa.table({"doc_id": pa.array(doc[found], pa.int64()), "number": pa.array(number[found], pa.int32())})
+
+    return run
 
-def _match(edits: int, parts: int):
-    """First places of lines and lines that repeat, or candidate pairs, of one part."""
+
+def _match(edits: int, parts: int, full: int):
+    """First places of lines and lines that repeat, or candidate pairs and open entries, of one part."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
@@ -284,8 +346,9 @@ def _match(edits: int, parts: int):
             return table.select(["kind", "part", "cell"])
         columns = [np.concatenate(c) for c in zip(*map(unpack, table.column("cell").to_pylist()), strict=True)]
         if kind == ENTRY:
-            a, b = _candidates(edits, *columns)
-            rows = [(PAIR, 0, pack(a.view(np.int64), b.view(np.int64)))] if len(a) else []
+            pairs, held = _candidates(edits, *columns, full)
+            rows = [(PAIR, 0, pack(*pairs.view(np.int64).T))] if len(pairs) else []
+            rows += [(OPEN, 0, pack(*(a[at : at + (1 << 16)] for a in held))) for at in range(0, len(held[0]), 1 << 16)]
             return pa.Table.from_batches([_cells(rows)])
         line, doc, number = columns
         order = np.lexsort((number, doc, line))
@@ -322,42 +385,79 @@ def _near(edits: int):
     return run
 
 
-def gone_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000) -> DataFrame:
+def gone_lines(
+    documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000, full: int = 32,
+    job_chars: tuple[int, int] = (1 << 20, 1 << 23),
+) -> DataFrame:
     """doc_id, number (from 0) of every line that goes; see ``dedup_lines``."""
     spark = documents.sparkSession
     parts = partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     cells = materialize(
-        docs.mapInArrow(_scan(edits, least, parts), CELL).groupBy("part").applyInArrow(_match(edits, parts), CELL)
+        docs.mapInArrow(_scan(edits, least, parts), CELL).groupBy("part").applyInArrow(_match(edits, parts, full), CELL)
     )
     gone = _rows(cells, GONE, "doc_id long, number int")
     first = _rows(cells, FIRST, "line long, doc_id long, number int")
-    pairs = materialize(_rows(cells, PAIR, "a long, b long").distinct())
     place = F.struct("doc_id", "number", "line").alias("place")
-    placed = (
+
+    def texts_of(places: DataFrame) -> DataFrame:
+        """line, text of the lines at the given places (line, doc_id, number)."""
+        owners = places.select("doc_id").distinct()
+        owners = F.broadcast(owners) if owners.count() <= small else owners.hint("shuffle_hash")
+        lines = docs.join(owners, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "text"))
+        return materialize(
+            places.join(lines.where(F.length("text") >= least), ["doc_id", "number"]).groupBy("line").agg(F.min("text").alias("text"))
+        )
+
+    pairs = _rows(cells, PAIR, "a long, b long").distinct()
+    placed = materialize(
         pairs.join(first.select(F.col("line").alias("a"), place.alias("pa")), "a")
         .join(first.select(F.col("line").alias("b"), place.alias("pb")), "b")
         .select(F.least("pa", "pb").alias("e"), F.greatest("pa", "pb").alias("l"))
     )
-    placed = materialize(placed)
-    needed = placed.select("e.*").unionByName(placed.select("l.*")).distinct()
-    owners = needed.select("doc_id").distinct()
-    owners = F.broadcast(owners) if owners.count() <= small else owners.hint("shuffle_hash")
-    lines = docs.join(owners, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "text"))
-    texts = materialize(
-        needed.join(lines.where(F.length("text") >= least), ["doc_id", "number"]).groupBy("line").agg(F.min("text").alias("text"))
-    )
+    texts = texts_of(placed.select("e.*").unionByName(placed.select("l.*")).distinct())
     judged = (
-        placed.select(F.col("e.line").alias("earlier"), F.col("l.line").alias("later"), F.col("l.doc_id").alias("doc_id"), F.col("l.number").alias("number"))
+        placed.select(F.col("e.line").alias("earlier"), F.col("l.line").alias("later"), F.col("l").alias("at"))
         .join(texts.select(F.col("line").alias("earlier"), F.col("text").alias("a_text")), "earlier")
         .join(texts.select(F.col("line").alias("later"), F.col("text").alias("b_text")), "later")
-        .select(F.struct("doc_id", "number").alias("later"), "a_text", "b_text")
-        .mapInArrow(_near(edits), "later struct<doc_id:long,number:int>")
+        .select(F.col("at").alias("later"), "a_text", "b_text")
+        .mapInArrow(_near(edits), "later struct<doc_id:long,number:int,line:long>")
+    )
+    near = materialize(judged.select("later.*").distinct())
+    gone = gone.unionByName(near.select("doc_id", "number"))
+    opened = _rows(cells, OPEN, OPENED)
+    places = materialize(opened.select("line").distinct().join(first, "line"))
+    if not places.isEmpty():
+        standing = near.select("line", F.lit(False).alias("standing"))
+        lines = (
+            places.join(texts_of(places), "line").join(standing, "line", "left")
+            .withColumn("standing", F.coalesce("standing", F.lit(True))).withColumn("size", F.length("text").cast("long"))
+        )
+        gone = gone.unionByName(_judge_open(opened, materialize(lines), edits, *job_chars))
+    return gone.distinct()
+
+
+def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, later_chars: int, other_chars: int) -> DataFrame:
+    """doc_id, number of the standing lines of open keys that are near an earlier line of the same key.
+
+    The standing lines of a key, and all of its lines, are dealt into parts by
+    their characters; a job compares one part with another.
+    """
+    weight = F.col("size") + 64
+    facts = opened.join(lines.select("line", "size", "standing"), "line")
+    counts = facts.groupBy("key").agg(
+        F.ceil(F.sum(F.when(F.col("standing"), weight)) / later_chars).alias("blocks"), F.ceil(F.sum(weight) / other_chars).alias("others")
     )
-    return gone.unionByName(judged.select("later.doc_id", "later.number").distinct())
+    rows = join_salted(opened, counts.where("blocks > 0"), "key", "line").join(lines, "line")
+    deal = lambda seed, n: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "number", "size", "text")
+    later = rows.where("standing").withColumn("i", deal(0, "blocks")).withColumn("j", each("others")).withColumn("side", F.lit(0))
+    other = rows.withColumn("i", each("blocks")).withColumn("j", deal(1, "others")).withColumn("side", F.lit(1))
+    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits), "doc_id long, number int")
 
 
-def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000) -> DataFrame:
+def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **options) -> DataFrame:
     """``documents`` with lines_gone: the numbers of the lines that go, ascending, or an empty array.
 
     Lines are the pieces of a text between line feeds; only those of at least
@@ -371,9 +471,14 @@ def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, small:
     and keep their lines. Rows that repeat a doc_id are one document: a line
     number that goes, goes in each of them. Other columns pass through;
     lines_gone is replaced if it is there. An empty table gives an empty result.
+
+    None of the ``options`` of ``gone_lines`` changes the result: ``small``
+    bounds the ids that may be broadcast, ``full`` the pairs that a key yields
+    for each of its entries, ``job_chars`` the characters of either side of a
+    job that compares the lines of a hot key.
     """
     docs = documents.drop(*[c for c in documents.columns if c.lower() == "lines_gone"])
-    lists = gone_lines(docs, edits=edits, least=least, small=small).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("lines_gone"))
+    lists = gone_lines(docs, edits=edits, least=least, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("lines_gone"))
     none = F.array().cast("array<int>")
     return docs.join(lists, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.coalesce("lines_gone", none).alias("lines_gone"))
 

@@ -38,6 +38,7 @@ from .common import (
     WHITE_SPACE,
     WordHasher,
     constants,
+    join_salted,
     materialize,
     mix,
     pack,
@@ -383,17 +384,6 @@ def signatures(docs: DataFrame, size: int, percent: int, universe: float, freque
     )
 
 
-def _with_head(rows: DataFrame, facts: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
-    """``rows`` (head, doc_id, ...) with the ``facts`` of their head, one row a head.
-
-    A group may hold a third of all rows, so the facts go to the parts of each
-    head that occur, and rows meet them there; no task gets a whole group.
-    """
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    spread = salted.select("head", "part").distinct().join(facts, "head", how)
-    return salted.join(spread, ["head", "part"], how).drop("part")
-
-
 def ngram_jaccard(
     documents: DataFrame, *, size: int = 5, percent: int = 80, universe: float = 1 / 3,
     frequent: int = 64, block: int = 256, small: int = 200_000,
@@ -447,7 +437,7 @@ def ngram_jaccard(
     # every candidate against the smallest document of its key
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block)).cast("long")
     sized = star.where(f"least(n, head_n) * 100 >= {percent} * greatest(n, head_n)")
-    near = _with_head(sized, sized.groupBy("head").agg(F.count(F.lit(1)).alias("c"))).select(
+    near = join_salted(sized, sized.groupBy("head").agg(F.count(F.lit(1)).alias("c")), "head", "doc_id").select(
         F.struct("head", salt.alias("i"), F.lit(-1).cast("long").alias("j")).alias("job"), "doc_id", "head"
     )
     members = near.select("job", "doc_id", F.lit(1).alias("side"))
@@ -463,12 +453,12 @@ def ngram_jaccard(
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
     tops = label.select(F.col("node").alias("head"), F.col("component").alias("top"))
-    groups = _with_head(groups, tops, "left").withColumn("out", F.col("component") != F.coalesce("top", "head"))
+    groups = join_salted(groups, tops, "head", "doc_id", "left").withColumn("out", F.col("component") != F.coalesce("top", "head"))
     open_groups = groups.groupBy("head").agg(
         F.sum(F.col("out").cast("long")).alias("outside"), F.count(F.lit(1)).alias("c")
     ).where("outside > 0 and c > 2")
     open_rows = materialize(
-        _with_head(groups, open_groups)
+        join_salted(groups, open_groups, "head", "doc_id")
         .withColumn("i", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("outside") / block)).cast("long"))
         .withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("c") / block)).cast("long"))
         .withColumn("sizes", F.floor(F.log2(F.col("n").cast("double")) * 4).cast("long"))

@@ -231,12 +231,23 @@ def test_line_dedup_agrees_with_brute_force(spark):
         return line
 
     rows = [(d, "\n".join(edited(rng.choice(lines)) for _ in range(rng.randrange(6)))) for d in range(40)] + [(90, None), (91, ""), (92, "short\n" * 3)]
-    for options in ({}, {"small": 0}):
+    for options in ({}, {"small": 0}, {"full": 0}, {"full": 0, "job_chars": (300, 500)}):
         found = ld.dedup_lines(docs_of(spark, [(d, t, "en", "s") for d, t in rows] + [(None, lines[0], "en", "s")]), least=12, **options).collect()
         assert {r["doc_id"]: list(r["lines_gone"]) for r in found} == brute_lines(rows, 12, 2) | {None: []}
     assert ld.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_hot_keys_yield_few_pairs():
+    # the lines of one key: each is segment and probe, and histograms tell none apart
+    n = 3000
+    key = np.repeat(np.array([2, 3], np.uint64), n)
+    line, place = np.tile(np.arange(n, dtype=np.uint64), 2), np.tile(np.arange(n, dtype=np.float32)[::-1], 2)
+    pairs, held = ld._candidates(2, key, line, np.zeros(2 * n, np.uint32), place, 32)
+    assert len(pairs) <= 8 * n
+    assert {tuple(p) for p in pairs.tolist()} >= {(x, n - 1) for x in range(n - 1)}  # all with the earliest
+    assert sorted(held[1].tolist()) == list(range(n)) and set(held[3].tolist()) == {3}
+
+
 # --- licences ------------------------------------------------------------------------------------
 
 
