@@ -24,6 +24,7 @@ in order, to find the earliest.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,7 @@ class Lines:
         codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         self.flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         ends = np.cumsum([0, *map(len, codes)])
-        doc, number, start, stop = [], [], [], []
+        doc, number, start, stop, sums = [], [], [], [], []
         for i, c in enumerate(codes):
             cuts = np.flatnonzero(c == 10)
             first, last = np.r_[0, cuts + 1], np.r_[cuts, len(c)]
@@ -127,8 +128,10 @@ class Lines:
             number.append(keep)
             start.append(first[keep] + ends[i])
             stop.append(last[keep] + ends[i])
+            sums.append(np.array([zlib.crc32(texts[i][a:b].encode()) for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)], np.int64))
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        self.doc, self.number, self.start, self.stop = map(join, (doc, number, start, stop))
+        self.doc, self.number, self.start, self.stop, check = map(join, (doc, number, start, stop, sums))
+        self.code = self.number << 32 | check
         n = len(self.flat)
         up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INVERSE, np.uint64)
         up[0] = down[0] = 1
@@ -194,14 +197,12 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
         lines, rows = Lines(texts, least), []
         ids = np.array(ids, np.int64)
         doc = ids[lines.doc] if len(lines.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((lines.number, doc, lines.hash))
-        starts, _ = runs(lines.hash[order])
-        first = np.zeros(len(order), bool)
-        first[order[starts]] = True
-        again, own = np.flatnonzero(~first), np.flatnonzero(first)
-        for part, arrays in split_by_part(route(lines.hash[own], parts), lines.hash[own], doc[own], lines.number[own].astype(np.int32)):
+        order = np.lexsort((lines.code, doc, lines.hash))
+        starts, again = _repeats(lines.hash[order], doc[order], lines.code[order])
+        own, again = np.sort(order[starts]), np.sort(order[again])
+        for part, arrays in split_by_part(route(lines.hash[own], parts), lines.hash[own], doc[own], lines.code[own]):
             rows.append((PLACE, part, pack(*arrays)))
-        for part, arrays in split_by_part(route(doc[again].view(np.uint64), parts), doc[again], lines.number[again].astype(np.int32)):
+        for part, arrays in split_by_part(route(doc[again].view(np.uint64), parts), doc[again], lines.code[again]):
             rows.append((GONE, parts + part, pack(*arrays)))
         histogram = np.zeros(len(lines.doc), np.uint32)
         histogram[own] = lines.histogram(own)
@@ -235,6 +236,16 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
     return run
 
 
+def _repeats(line: np.ndarray, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted places of lines: the first of each line, and those that repeat it elsewhere.
+
+    Rows that repeat a doc_id may hold the first occurrence once more; that is no repeat.
+    """
+    starts, sizes = runs(line)
+    head = np.repeat(starts, sizes)
+    return starts, np.flatnonzero((doc != doc[head]) | (code != code[head]))
+
+
 def _cells(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     kinds, parts, cells = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
@@ -313,16 +324,16 @@ def _standing(edits: int, block: int = 256, width: int = 4096):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side, line, doc, number, roles, size = (table.column(c).to_numpy() for c in ("side", "line", "doc_id", "number", "roles", "size"))
+        side, line, doc, code, roles, size = (table.column(c).to_numpy() for c in ("side", "line", "doc_id", "code", "roles", "size"))
         histogram, text = table.column("histogram").to_numpy().astype(np.uint32), table.column("text").chunk(0)
         later, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        other, gone = other[np.lexsort((number[other], doc[other]))], []
+        other, gone = other[np.lexsort((code[other], doc[other]))], []
         for at in range(0, len(later), block):
             left = later[at : at + block]
             for to in range(0, len(other), width):
                 i, j = left[:, None], other[None, to : to + width]
                 ok = ((roles[i] & 1) & (roles[j] >> 1)) | ((roles[i] >> 1) & (roles[j] & 1)) > 0
-                ok &= (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (number[j] < number[i]))
+                ok &= (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (code[j] < code[i]))
                 ok &= np.abs(size[i] - size[j]) <= edits
                 ok &= ~_apart(histogram[i], histogram[j], edits)
                 near = np.zeros(len(left), bool)
@@ -332,7 +343,7 @@ def _standing(edits: int, block: int = 256, width: int = 4096):
                 gone.append(left[near])
                 left = left[~near]
         found = np.concatenate(gone) if gone else np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(doc[found], pa.int64()), "number": pa.array(number[found], pa.int32())})
+        return pa.table({"doc_id": pa.array(doc[found], pa.int64()), "code": pa.array(code[found], pa.int64())})
 
     return run
 
@@ -350,14 +361,12 @@ def _match(edits: int, parts: int, full: int):
             rows = [(PAIR, 0, pack(*pairs.view(np.int64).T))] if len(pairs) else []
             rows += [(OPEN, 0, pack(*(a[at : at + (1 << 16)] for a in held))) for at in range(0, len(held[0]), 1 << 16)]
             return pa.Table.from_batches([_cells(rows)])
-        line, doc, number = columns
-        order = np.lexsort((number, doc, line))
-        line, doc, number = line[order], doc[order], number[order]
-        starts, _ = runs(line)
-        again = np.ones(len(line), bool)
-        again[starts] = False
-        rows = [(FIRST, 0, pack(line[starts].view(np.int64), doc[starts], number[starts]))]
-        rows += [(GONE, 0, pack(doc[again], number[again]))]
+        line, doc, code = columns
+        order = np.lexsort((code, doc, line))
+        line, doc, code = line[order], doc[order], code[order]
+        starts, again = _repeats(line, doc, code)
+        rows = [(FIRST, 0, pack(line[starts].view(np.int64), doc[starts], code[starts]))]
+        rows += [(GONE, 0, pack(doc[again], code[again]))]
         return pa.Table.from_batches([_cells(rows)])
 
     return run
@@ -385,28 +394,33 @@ def _near(edits: int):
     return run
 
 
+def line_code(number, line):
+    """A line of a document as one long: its number, and the CRC-32 of its text, which rows of one doc_id may not share."""
+    return F.shiftleft(number.cast("long"), 32).bitwiseOR(F.crc32(line))
+
+
 def gone_lines(
     documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000, full: int = 32,
     job_chars: tuple[int, int] = (1 << 20, 1 << 23),
 ) -> DataFrame:
-    """doc_id, number (from 0) of every line that goes; see ``dedup_lines``."""
+    """doc_id, code (see ``line_code``) of every line that goes; see ``dedup_lines``."""
     spark = documents.sparkSession
     parts = partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     cells = materialize(
         docs.mapInArrow(_scan(edits, least, parts), CELL).groupBy("part").applyInArrow(_match(edits, parts, full), CELL)
     )
-    gone = _rows(cells, GONE, "doc_id long, number int")
-    first = _rows(cells, FIRST, "line long, doc_id long, number int")
-    place = F.struct("doc_id", "number", "line").alias("place")
+    gone = _rows(cells, GONE, "doc_id long, code long")
+    first = _rows(cells, FIRST, "line long, doc_id long, code long")
+    place = F.struct("doc_id", "code", "line").alias("place")
 
     def texts_of(places: DataFrame) -> DataFrame:
-        """line, text of the lines at the given places (line, doc_id, number)."""
+        """line, text of the lines at the given places (line, doc_id, code)."""
         owners = places.select("doc_id").distinct()
         owners = F.broadcast(owners) if owners.count() <= small else owners.hint("shuffle_hash")
         lines = docs.join(owners, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "text"))
         return materialize(
-            places.join(lines.where(F.length("text") >= least), ["doc_id", "number"]).groupBy("line").agg(F.min("text").alias("text"))
+            places.join(lines.where(F.length("text") >= least).select("doc_id", line_code(F.col("number"), F.col("text")).alias("code"), "text"), ["doc_id", "code"]).groupBy("line").agg(F.min("text").alias("text"))
         )
 
     pairs = _rows(cells, PAIR, "a long, b long").distinct()
@@ -421,10 +435,10 @@ def gone_lines(
         .join(texts.select(F.col("line").alias("earlier"), F.col("text").alias("a_text")), "earlier")
         .join(texts.select(F.col("line").alias("later"), F.col("text").alias("b_text")), "later")
         .select(F.col("at").alias("later"), "a_text", "b_text")
-        .mapInArrow(_near(edits), "later struct<doc_id:long,number:int,line:long>")
+        .mapInArrow(_near(edits), "later struct<doc_id:long,code:long,line:long>")
     )
     near = materialize(judged.select("later.*").distinct())
-    gone = gone.unionByName(near.select("doc_id", "number"))
+    gone = gone.unionByName(near.select("doc_id", "code"))
     opened = _rows(cells, OPEN, OPENED)
     places = materialize(opened.select("line").distinct().join(first, "line"))
     if not places.isEmpty():
@@ -438,7 +452,7 @@ def gone_lines(
 
 
 def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, later_chars: int, other_chars: int) -> DataFrame:
-    """doc_id, number of the standing lines of open keys that are near an earlier line of the same key.
+    """doc_id, code of the standing lines of open keys that are near an earlier line of the same key.
 
     The standing lines of a key, and all of its lines, are dealt into parts by
     their characters; a job compares one part with another.
@@ -451,10 +465,10 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, later_chars: in
     rows = join_salted(opened, counts.where("blocks > 0"), "key", "line").join(lines, "line")
     deal = lambda seed, n: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "number", "size", "text")
+    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "code", "size", "text")
     later = rows.where("standing").withColumn("i", deal(0, "blocks")).withColumn("j", each("others")).withColumn("side", F.lit(0))
     other = rows.withColumn("i", each("blocks")).withColumn("j", deal(1, "others")).withColumn("side", F.lit(1))
-    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits), "doc_id long, number int")
+    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits), "doc_id long, code long")
 
 
 def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **options) -> DataFrame:
@@ -468,8 +482,9 @@ def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **opti
     work.
 
     Null and empty texts have no such lines. Rows without doc_id take no part
-    and keep their lines. Rows that repeat a doc_id are one document: a line
-    number that goes, goes in each of them. Other columns pass through;
+    and keep their lines. Rows that repeat a doc_id are one document: a line of
+    a number that goes, goes in each of them that has the same line there, and
+    a line's first occurrence stays in each. Other columns pass through;
     lines_gone is replaced if it is there. An empty table gives an empty result.
 
     None of the ``options`` of ``gone_lines`` changes the result: ``small``
@@ -478,9 +493,13 @@ def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **opti
     job that compares the lines of a hot key.
     """
     docs = documents.drop(*[c for c in documents.columns if c.lower() == "lines_gone"])
-    lists = gone_lines(docs, edits=edits, least=least, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("lines_gone"))
+    lists = gone_lines(docs, edits=edits, least=least, **options).groupBy("doc_id").agg(F.collect_set("code").alias("lines_gone"))
     none = F.array().cast("array<int>")
-    return docs.join(lists, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.coalesce("lines_gone", none).alias("lines_gone"))
+    own = F.transform(F.split(docs["text"].cast("string"), "\n"), lambda line, i: line_code(i, line))
+    numbers = F.sort_array(F.transform(F.array_intersect("lines_gone", own), lambda c: F.shiftright(c, 32).cast("int")))
+    return docs.join(lists, "doc_id", "left").select(
+        *[docs[c] for c in docs.columns], F.coalesce(F.when(F.col("lines_gone").isNotNull(), numbers), none).alias("lines_gone")
+    )
 
 
 def without_lines(text, gone):

@@ -237,6 +237,18 @@ def test_line_dedup_agrees_with_brute_force(spark):
     assert ld.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_keep_first_lines(spark):
+    a, b, c = (" ".join(prose(random.Random(n), 12)) for n in (1, 2, 3))
+    rows = [(1, b), (5, f"{a}\nx"), (5, f"{a}\nx"), (6, f"{c}\n{a}"), (5, f"{b}\n{a}"), (7, f"{a}z"), (7, "short"), (7, f"{a}z")]
+    # by rows: copies of a first occurrence stay; a number goes only in rows that have the line there
+    wanted = [(1, b, []), (5, f"{a}\nx", []), (5, f"{a}\nx", []), (5, f"{b}\n{a}", [0, 1]), (6, f"{c}\n{a}", [1])]
+    wanted += [(7, f"{a}z", [0]), (7, f"{a}z", [0]), (7, "short", [])]
+    for parts in (1, 4):
+        docs = docs_of(spark, [(*r, "en", "s") for r in rows]).repartition(parts, "text")
+        found = ld.dedup_lines(docs).collect()
+        assert sorted((r["doc_id"], r["text"], list(r["lines_gone"])) for r in found) == sorted(wanted)
+
+
 def test_hot_keys_yield_few_pairs():
     # the lines of one key: each is segment and probe, and histograms tell none apart
     n = 3000
