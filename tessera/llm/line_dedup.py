@@ -1,12 +1,15 @@
 """Line deduplication with a segment-partition edit join.
 
-A line goes if an equal line, or one within ``edits`` edits, stands earlier in
-the corpus, by doc_id and line number of its first occurrence. Near lines are
-found by the pigeonhole principle: a line is cut into ``edits + 1`` segments,
-and a line within that many edits contains one of them whole, near its place.
-Every line is indexed under its segments and probes the segments of all
-lengths that it may match, with the substrings that can align with them.
-Candidates are verified with a banded bit-parallel edit distance.
+A line goes if an equal line, or one within a bound of edits that grows with
+the length of the shorter line, stands earlier in the corpus, by doc_id and
+line number of its first occurrence. Near lines are found by the pigeonhole
+principle: lines are dealt into classes by length, with one bound each; the
+characters that all lines of a class have are cut into bound + 1 segments, and
+a line within that many edits, of the same length or longer, contains one of
+them whole, near its place. Every line is indexed under its segments and probes
+the segments of its class and of those just below, with the substrings that can
+align with them. Candidates are verified with an edit
+distance by diagonals.
 
 Segments and substrings are hashed from prefix sums over a batch of texts, and
 (key, line) pairs move as packed columns. With each goes a 32-bit histogram of
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,60 +50,42 @@ OPENED = "key long, line long, histogram long, roles int"
 def within_edits(a: str, b: str, most: int) -> bool:
     """Whether the edit distance of two strings is at most ``most``.
 
-    Common ends are cut off; the rest is a bit-parallel dynamic program on a
-    diagonal band of 2 * most + 1 cells, held in one small integer.
+    For each number of edits and each diagonal it keeps how far into ``a`` an
+    alignment reaches; runs of equal characters are compared in growing slices.
     """
-    if abs(len(a) - len(b)) > most:
+    m, n = len(a), len(b)
+    if abs(m - n) > most:
         return False
     if a == b:
         return True
-    lo, n = 0, min(len(a), len(b))
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:  # longest common prefix by doubling steps
-        while lo + step <= n and a[lo : lo + step] == b[lo : lo + step]:
-            lo += step
-        step >>= 1
-    a, b = a[lo:], b[lo:]
-    hi, n = 0, min(len(a), len(b))
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        while hi + step <= n and a[len(a) - hi - step : len(a) - hi] == b[len(b) - hi - step : len(b) - hi]:
-            hi += step
-        step >>= 1
-    a, b = a[: len(a) - hi], b[: len(b) - hi]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
-    if len(a) > len(b):
-        a, b = b, a
-    # sets[e] has bit d set if some alignment with e edits ends on diagonal d at the current row
-    width = 2 * most + 1
-    full = (1 << width) - 1
-    sets = [0] * (most + 1)
-    for e in range(most + 1):  # row 0: column j costs j insertions; bit most + j
-        sets[e] = sum(1 << (most + j) for j in range(min(e, len(b)) + 1))
-    for i, ch in enumerate(a):
-        same = 0
-        for d in range(width):  # cell (i + 1, j) with j = i + 1 + d - most
-            j = i + 1 + d - most
-            if 1 <= j <= len(b) and b[j - 1] == ch:
-                same |= 1 << d
-        valid = 0
-        for d in range(width):
-            if 0 <= i + 1 + d - most <= len(b):
-                valid |= 1 << d
-        fresh = []
-        for e in range(most + 1):
-            now = sets[e] & same
-            if e:
-                now |= sets[e - 1] | (sets[e - 1] >> 1)  # substitution, deletion
-                now |= fresh[e - 1] << 1  # insertion
-                now |= fresh[e - 1]
-            fresh.append(now & valid & full)
-        sets = fresh
-        if not sets[most]:
-            return False
-    end = len(b) - len(a) + most
-    return 0 <= end < width and bool(sets[most] >> end & 1)
+
+    def reach(i: int, j: int) -> int:
+        left, step = min(m - i, n - j), 16
+        end = i + left
+        while i < end and a[i : i + min(step, end - i)] == b[j : j + min(step, end - i)]:
+            step = min(step, end - i)
+            i, j, step = i + step, j + step, 2 * step
+        step = min(step, end - i)
+        while step > 1:
+            half = step // 2
+            if a[i : i + half] == b[j : j + half]:
+                i, j, step = i + half, j + half, step - half
+            else:
+                step = half
+        return i + (step == 1 and a[i] == b[j])
+
+    last, none = {0: reach(0, 0)}, -(m + n + 2)
+    for e in range(1, most + 1):
+        now = {}
+        for d in range(max(-e, n - m - most + e), min(e, n - m + most - e) + 1):  # b's place less a's; the others can't get back
+            i = max(last.get(d, none) + 1, last.get(d + 1, none) + 1, last.get(d - 1, none))
+            i = min(i, m, n - d)
+            if i >= 0 and i + d >= 0:
+                now[d] = reach(i, i + d)
+        if now.get(n - m, none) == m:
+            return True
+        last = now
+    return last.get(n - m, none) == m
 
 
 # --- entries ----------------------------------------------------------------------
@@ -112,6 +98,25 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
+def classes(longest: int, least: int) -> list[int]:
+    """The least length of every class of lines up to the longest, and of the one beyond."""
+    floors = [max(1, least)]
+    while floors[-1] <= longest:
+        floors.append(floors[-1] + max(8, floors[-1] // 8))
+    return floors
+
+
+def bound(floor, edits: int):
+    """Edits within which lines are near, by the least length of the class of the shorter one: 0.3 times its root."""
+    return np.maximum(edits, (0.3 * np.sqrt(floor)).astype(np.int64))
+
+
+def bounds(size: np.ndarray, edits: int, least: int) -> np.ndarray:
+    """The bounds of lines by their lengths."""
+    floors = np.array(classes(int(size.max(initial=0)), least))
+    return bound(floors, edits)[np.searchsorted(floors, size, "right") - 1]
+
+
 class Lines:
     """The eligible lines of a batch of texts: positions in one array of code points."""
 
@@ -157,37 +162,38 @@ class Lines:
             out |= (count & 15).astype(np.uint32) << np.uint32(4 * c)
         return out
 
-    def entries(self, rows: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(rows, keys, 1 for a probe) of every segment and every probing substring of the lines."""
-        parts = edits + 1
-        salt, order = constants(1, 67), constants(parts, 71)
-        length = self.stop[rows] - self.start[rows]
+    def entries(self, rows: np.ndarray, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, keys) of every segment and every probing substring of the lines.
 
-        def place(size: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-            small, longer = np.divmod(size, parts)
-            plain = parts - longer
-            return i * small + np.maximum(0, i - plain), small + (i >= plain)
-
-        def key(size: np.ndarray, i: int, value: np.ndarray) -> np.ndarray:
-            return mix(value + size.astype(np.uint64) * salt[0] + order[i])
-
-        for i in range(parts):
-            at, size = place(length, i)
-            lo = self.start[rows] + at
-            yield rows, key(length, i, self.part(lo, lo + size)), 0
-        for delta in range(edits + 1):  # lines shorter by delta
-            shorter = length - delta
-            for i in range(parts):
-                at, size = place(shorter, i)
-                # multi-match-aware: before the segment at most i edits, after it at most parts - 1 - i
-                low = max(-i, delta - (parts - 1 - i))
-                high = min(i, delta + (parts - 1 - i))
-                for shift in range(low, high + 1):
-                    lo = at + shift
-                    fits = (lo >= 0) & (lo + size <= length) & (size > 0)
-                    some = rows[fits]
-                    begin = self.start[some] + lo[fits]
-                    yield some, key(shorter[fits], i, self.part(begin, begin + size[fits])), 1
+        Bit 0 of a key is 1 for a probe, bits 1 to 7 hold the bound of its class, as far as they can.
+        """
+        rows = rows[np.argsort(self.stop[rows] - self.start[rows], kind="stable")]
+        length = self.stop[rows] - self.start[rows]
+        floors = classes(int(length[-1]), least) if len(rows) else []
+        salt = constants(1, 67)[0]
+
+        def keys(some: np.ndarray, size: np.ndarray, table: list[tuple[int, int, int]], role: int) -> tuple[np.ndarray, np.ndarray]:
+            at, width, number = np.array(table, np.int64).T
+            fits = at + width <= size[:, None]
+            begin = (self.start[some][:, None] + at)[fits]
+            salts = np.broadcast_to(np.uint64(floor) * salt + order[number], fits.shape)[fits]
+            key = mix(self.part(begin, begin + np.broadcast_to(width, fits.shape)[fits]) + salts)
+            key = (key & ~np.uint64(255)) | np.uint64(min(most, 127) << 1 | role)
+            return np.repeat(some, fits.sum(1)), key
+
+        for floor, beyond in zip(floors, floors[1:], strict=False):
+            most = int(bound(floor, edits))
+            cuts, order = segments(floor, most + 1), constants(most + 1, 71)
+            lo, hi, reach = np.searchsorted(length, (floor, beyond, beyond + most))
+            if lo == reach:
+                continue
+            yield keys(rows[lo:hi], length[lo:hi], [(at, n, i) for i, (at, n) in enumerate(cuts) if n], 0)
+            # multi-match-aware: some segment i is whole with i edits before it, and at most most - i after it
+            shifted = [(at + d, n, i) for i, (at, n) in enumerate(cuts) for d in range(-min(i, most - i), i + 1) if n and at + d >= 0]
+            step = max(1, (1 << 20) // len(shifted))
+            for x in range(int(lo), int(reach), step):
+                y = min(x + step, int(reach))
+                yield keys(rows[x:y], length[x:y], shifted, 1)
 
 
 def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
@@ -206,14 +212,12 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
             rows.append((GONE, parts + part, pack(*arrays)))
         histogram = np.zeros(len(lines.doc), np.uint32)
         histogram[own] = lines.histogram(own)
-        keys, refs, roles = [], [], []
-        for some, key, role in lines.entries(own, edits):
+        keys, refs = [], []
+        for some, key in lines.entries(own, edits, least):
             keys.append(key)
             refs.append(some)
-            roles.append(np.full(len(some), role, np.uint8))
-        key, ref, role = map(np.concatenate, (keys, refs, roles))
-        # the lowest bit of a key tells probes from segments
-        key = (key & ~np.uint64(1)) | role
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)  # the lowest bit tells probes from segments
+        ref = np.concatenate(refs) if refs else np.zeros(0, np.int64)
         place = doc.astype(np.float32)  # rounding keeps the order, but for ties
         for part, arrays in split_by_part(route(key >> np.uint64(1), parts), key, lines.hash[ref], histogram[ref], place[ref]):
             rows.append((ENTRY, 2 * parts + part, pack(*arrays)))
@@ -276,6 +280,7 @@ def _candidates(
     fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])] if len(key) else np.zeros(0, bool)
     key, line, histogram, place = key[fresh], line[fresh], histogram[fresh], place[fresh]
     starts, sizes = runs(key >> np.uint64(1))
+    most = np.maximum(edits, (key >> np.uint64(1) & np.uint64(127)).astype(np.int64))
     left, right, held = [], [], []
     # a key of one segment and few probes, the usual case, in one go
     for width in (2, 3):
@@ -284,12 +289,12 @@ def _candidates(
             for y in range(width):
                 i, j = some + x, some + y
                 ok = ((key[i] & np.uint64(1)) == 0) & ((key[j] & np.uint64(1)) == 1) & (line[i] != line[j])
-                ok[ok] = ~_apart(histogram[i[ok]], histogram[j[ok]], edits)
+                ok[ok] = ~_apart(histogram[i[ok]], histogram[j[ok]], most[i[ok]])
                 left.append(line[i[ok]])
                 right.append(line[j[ok]])
 
     def cross(i: np.ndarray, j: np.ndarray) -> None:
-        near = ~_apart(histogram[i][:, None], histogram[j][None, :], edits) & (line[i][:, None] != line[j][None, :])
+        near = ~_apart(histogram[i][:, None], histogram[j][None, :], most[lo]) & (line[i][:, None] != line[j][None, :])
         x, y = np.nonzero(near)
         left.append(line[i][x])
         right.append(line[j][y])
@@ -319,13 +324,14 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), a.dtype)
 
 
-def _standing(edits: int, block: int = 256, width: int = 4096):
+def _standing(edits: int, least: int, block: int = 256, width: int = 4096):
     """Lines of a job's side 0 that are near an earlier line of its side 1."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side, line, doc, code, roles, size = (table.column(c).to_numpy() for c in ("side", "line", "doc_id", "code", "roles", "size"))
         histogram, text = table.column("histogram").to_numpy().astype(np.uint32), table.column("text").chunk(0)
+        most = bounds(size, edits, least)
         later, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         other, gone = other[np.lexsort((code[other], doc[other]))], []
         for at in range(0, len(later), block):
@@ -334,12 +340,13 @@ def _standing(edits: int, block: int = 256, width: int = 4096):
                 i, j = left[:, None], other[None, to : to + width]
                 ok = ((roles[i] & 1) & (roles[j] >> 1)) | ((roles[i] >> 1) & (roles[j] & 1)) > 0
                 ok &= (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (code[j] < code[i]))
-                ok &= np.abs(size[i] - size[j]) <= edits
-                ok &= ~_apart(histogram[i], histogram[j], edits)
+                within = np.minimum(most[i], most[j])
+                ok &= np.abs(size[i] - size[j]) <= within
+                ok &= ~_apart(histogram[i], histogram[j], within)
                 near = np.zeros(len(left), bool)
                 for x in np.flatnonzero(ok.any(1)):
                     own = text[int(left[x])].as_py()
-                    near[x] = any(within_edits(text[int(y)].as_py(), own, edits) for y in j[0, ok[x]])
+                    near[x] = any(within_edits(text[int(y)].as_py(), own, int(min(most[y], most[left[x]]))) for y in j[0, ok[x]])
                 gone.append(left[near])
                 left = left[~near]
         found = np.concatenate(gone) if gone else np.zeros(0, np.int64)
@@ -384,11 +391,12 @@ def _rows(cells: DataFrame, kind: int, spec: str) -> DataFrame:
     return cells.where(F.col("kind") == kind).select("cell").mapInArrow(run, spec)
 
 
-def _near(edits: int):
+def _near(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a_text"), batch.column("b_text")
-            same = [within_edits(x.as_py(), y.as_py(), edits) for x, y in zip(a, b, strict=True)]
+            most = bounds(np.minimum(*(pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (a, b))), edits, least).tolist()
+            same = [within_edits(x.as_py(), y.as_py(), n) for x, y, n in zip(a, b, most, strict=True)]
             yield batch.select(["later"]).filter(pa.array(same, pa.bool_()))
 
     return run
@@ -435,7 +443,7 @@ def gone_lines(
         .join(texts.select(F.col("line").alias("earlier"), F.col("text").alias("a_text")), "earlier")
         .join(texts.select(F.col("line").alias("later"), F.col("text").alias("b_text")), "later")
         .select(F.col("at").alias("later"), "a_text", "b_text")
-        .mapInArrow(_near(edits), "later struct<doc_id:long,code:long,line:long>")
+        .mapInArrow(_near(edits, least), "later struct<doc_id:long,code:long,line:long>")
     )
     near = materialize(judged.select("later.*").distinct())
     gone = gone.unionByName(near.select("doc_id", "code"))
@@ -447,11 +455,11 @@ def gone_lines(
             places.join(texts_of(places), "line").join(standing, "line", "left")
             .withColumn("standing", F.coalesce("standing", F.lit(True))).withColumn("size", F.length("text").cast("long"))
         )
-        gone = gone.unionByName(_judge_open(opened, materialize(lines), edits, *job_chars))
+        gone = gone.unionByName(_judge_open(opened, materialize(lines), edits, least, *job_chars))
     return gone.distinct()
 
 
-def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, later_chars: int, other_chars: int) -> DataFrame:
+def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, later_chars: int, other_chars: int) -> DataFrame:
     """doc_id, code of the standing lines of open keys that are near an earlier line of the same key.
 
     The standing lines of a key, and all of its lines, are dealt into parts by
@@ -468,7 +476,7 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, later_chars: in
     columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "code", "size", "text")
     later = rows.where("standing").withColumn("i", deal(0, "blocks")).withColumn("j", each("others")).withColumn("side", F.lit(0))
     other = rows.withColumn("i", each("blocks")).withColumn("j", deal(1, "others")).withColumn("side", F.lit(1))
-    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits), "doc_id long, code long")
+    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits, least), "doc_id long, code long")
 
 
 def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **options) -> DataFrame:
@@ -476,8 +484,10 @@ def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **opti
 
     Lines are the pieces of a text between line feeds; only those of at least
     ``least`` characters take part, shorter ones always stay. A line goes if a
-    line that is equal, or within ``edits`` edits of it, first occurs earlier,
-    by doc_id and line number. Whether that earlier line itself goes doesn't
+    line that is equal, or near, first occurs earlier, by doc_id and line number.
+    Lines are near within ``edits`` edits, or 0.3 times the root of the length
+    of the shorter one if that is more: its length rounded down to its class
+    (``classes``), the product to a whole number (``bound``). Whether that earlier line itself goes doesn't
     matter, so the result depends on the corpus alone and not on any order of
     work.
 

@@ -249,6 +249,35 @@ def test_rows_that_repeat_a_doc_id_keep_first_lines(spark):
         assert sorted((r["doc_id"], r["text"], list(r["lines_gone"])) for r in found) == sorted(wanted)
 
 
+def test_bound_of_edits_grows_with_the_line(spark):
+    rng = random.Random(9)
+    bases = [" ".join(prose(rng, n, 10**6)) for n in (12, 20, 40, 40, 90, 200)]
+
+    def edited(line, edits):
+        for _ in range(edits):
+            i = rng.randrange(len(line) + 1)
+            line = line[:i] + rng.choice(("", "z", "é")) + line[i + rng.randrange(2) :]
+        return line
+
+    rows = [(d, "\n".join(edited(line, rng.randrange(12)) for line in rng.sample(bases, 3))) for d in range(50)]
+    first = {}
+    for d, t in rows:
+        for i, line in enumerate(t.split("\n")):
+            first.setdefault(line, (d, i))
+
+    def most(line):
+        floor = max(f for f in ld.classes(len(line), 32) if f <= len(line))
+        return max(2, int(0.3 * math.sqrt(floor)))
+
+    within = lambda x, y: ld.within_edits(x, y, most(min(x, y, key=len)))
+    near = {x for x in first if any(within(x, y) for y in first if first[y] < first[x])}
+    assert any(most(x) > 8 for x in near) and len(near) < len(first)
+    wanted = {d: [i for i, line in enumerate(t.split("\n")) if first[line] != (d, i) or line in near] for d, t in rows}
+    for options in ({}, {"full": 0, "job_chars": (3000, 5000)}):
+        found = ld.dedup_lines(docs_of(spark, [(*r, "en", "s") for r in rows]), **options).collect()
+        assert {r["doc_id"]: list(r["lines_gone"]) for r in found} == wanted
+
+
 def test_hot_keys_yield_few_pairs():
     # the lines of one key: each is segment and probe, and histograms tell none apart
     n = 3000
