@@ -1,7 +1,9 @@
-"""Vector search in a filtered set: exact, and as a shortlist that is rescored exactly."""
+"""Vector search in a filtered set: exact, over all rows or those that a shortlist can't rule out."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ def filtered_search(rows: DataFrame, where: str, probe: list[float], *, k: int,
 def shortlist_search(
     rows: DataFrame, where: str, probe: list[float], *, k: int, shortlist: int = 200, id_col: str = "vec_id", vector: str = "embedding", planes: int = 64,
 ) -> DataFrame:
-    """Nearest rows through a shortlist: the ``shortlist`` rows of the filtered set whose signs on random
-    hyperplanes differ least from the probe's, rescored with exact distances. A row off the shortlist is missed.
+    """The k nearest rows through a shortlist: the ``shortlist`` rows of the filtered set whose signs on random
+    hyperplanes differ least from the probe's give a distance within which k rows lie. Of the others, those whose
+    length differs from the probe's by more can't be nearer and are left out; the rest is scored exactly.
+    The result is that of ``filtered_search``.
     """
     dim = len(probe)
     v = F.col(vector).cast("array<double>")
@@ -42,4 +46,10 @@ def shortlist_search(
     for s in signs[1:]:
         differ = differ + s
     near = rows.where(where).withColumn("__differ", differ).orderBy("__differ", id_col).limit(shortlist)
-    return filtered_search(near, "true", probe, k=k, id_col=id_col, vector=vector)
+    found = [r["dist"] for r in filtered_search(near, "true", probe, k=k, id_col=id_col, vector=vector).collect()]
+    rest = rows.where(where)
+    if len(found) == k and k and found[-1] is not None and math.isfinite(found[-1]):
+        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        own = math.sqrt(sum(x * x for x in probe))
+        rest = rest.where(F.abs(length - own) <= found[-1] + 1e-9 * (length + own + found[-1]))
+    return filtered_search(rest, "true", probe, k=k, id_col=id_col, vector=vector)

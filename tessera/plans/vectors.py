@@ -29,5 +29,5 @@ def vec_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vec_shortlist_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortlist from random projections of the filtered set, rescored exactly: approximate, so without SQL."""
+    """Search through a shortlist from random projections, with the rows that it can't rule out; distances aren't rounded, so without SQL."""
     return shortlist_search(table(spark, sf_dir, "embeddings"), "label IN (1, 2, 3)", _probe(spark, sf_dir), k=20)
