@@ -37,8 +37,8 @@ def word_count(text: Column) -> Column:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), term for every word."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """doc_id, row, pos (from 0), term for every word; rows of a doc_id are told apart by their text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
 
 
 def _windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -83,21 +83,21 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, *, window: int = 10
     )
     found = (
         _postings(docs).join(_sized(anchors, small), "term")
-        .select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "win", "size").where("start >= 0")
+        .select("doc_id", "row", (F.col("pos") - F.col("off")).alias("start"), "win", "size", "k").where("start >= 0")
     )
     starts = materialize(
-        found.groupBy("doc_id", "start", "win", "size").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= F.least(F.col("size"), F.lit(rarest))).select("doc_id", "start", "win", "size")
+        found.groupBy("doc_id", "row", "start", "win", "size").agg(F.count_distinct("k").alias("n"))
+        .where(F.col("n") >= F.least(F.col("size"), F.lit(rarest))).select("doc_id", "row", "start", "win", "size")
     )
     # the whole phrase, in the documents that are left
     left = starts.select("doc_id").distinct()
     places = _postings(docs.join(_sized(left, small), "doc_id", "left_semi"))
     wanted = starts.join(_sized(ranked.select("win", F.explode("t").alias("s")), small), "win").select(
-        "doc_id", "start", "win", "size", (F.col("start") + F.col("s.off")).alias("pos"), F.col("s.term").alias("term")
+        "doc_id", "row", "start", "win", "size", (F.col("start") + F.col("s.off")).alias("pos"), F.col("s.term").alias("term")
     )
     whole = (
-        wanted.join(places, ["doc_id", "pos", "term"]).groupBy("doc_id", "start", "win", "size")
-        .agg(F.count(F.lit(1)).alias("n")).where("n = size").select("doc_id", "start", "win", "size")
+        wanted.join(places, ["doc_id", "row", "pos", "term"]).groupBy("doc_id", "row", "start", "win", "size")
+        .agg(F.count_distinct("pos").alias("n")).where("n = size").select("doc_id", "start", "win", "size").distinct()
     )
     return whole.join(_sized(owners.select("win", "item_id").distinct(), small), "win").select("doc_id", "start", "size", "item_id")
 
