@@ -23,8 +23,8 @@ from tessera.llm.ngram_jaccard import ngram_jaccard
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if the network gives its language less than this.
 LEAST_SCORE = 0.3
-#: A document goes if line dedup leaves less than this share of its characters: what is left of a copy is its short lines.
-LEAST_LEFT = 0.2
+#: Lines of as many characters take part in line dedup; a document that loses lines and keeps none of them goes.
+LEAST_LINE = 32
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus, equal or nearly; those that lose nearly all go."""
-    kept = dedup_lines(docs.select(*COLUMNS))
+    """Documents without the lines that stand earlier in the corpus, equal or nearly; those left with short lines only go."""
+    kept = dedup_lines(docs.select(*COLUMNS), least=LEAST_LINE)
     text = without_lines(F.col("text"), F.col("lines_gone"))
     return (
-        kept.withColumn("all", F.length("text")).withColumn("text", text).withColumn("n_chars", F.when(F.size("lines_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-        .where((F.size("lines_gone") == 0) | (F.length("text") >= F.greatest(F.lit(1), LEAST_LEFT * F.col("all")))).select(*COLUMNS)
+        kept.withColumn("text", text).withColumn("n_chars", F.when(F.size("lines_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        .where((F.size("lines_gone") == 0) | F.exists(F.split("text", "\n"), lambda line: F.length(line) >= LEAST_LINE)).select(*COLUMNS)
     )
 
 
