@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_salted, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,40 +15,46 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
+def connected_components(links: DataFrame, small: int = 200_000) -> DataFrame:
+    """(a, b): every node of ``links`` (a, b) and its component, the smallest node that it reaches.
 
     Each round hangs every node's larger neighbours, then every node's smaller
     neighbours, on the smallest node it knows, until nothing changes. All steps
     are aggregations and joins on the node; nothing is gathered on the driver
-    but one checksum a round. Self links and repeated links are harmless.
+    but one checksum a round. A node may have a third of all links: its least
+    neighbour is sent to all tasks while there are at most ``small`` links, and
+    else to the parts into which a node's links are dealt. Self links and
+    repeated links are harmless. A result may be handed in again, with more links.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = materialize(
-        links.select(high.alias("a"), low.alias("b")).where("a <> b").distinct()
-    )
+    edges = materialize(links.select(high.alias("a"), low.alias("b")).distinct())
+    # a node may come with a link to itself alone
+    alone = edges.where("a = b")
+    edges = edges.where("a <> b")
     before = _signature(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+
+    def told(rows: DataFrame, facts: DataFrame, many: int) -> DataFrame:
+        return rows.join(F.broadcast(facts), "a") if many <= small else join_salted(rows, facts, "a", "b")
+
+    done = not before[0]
+    while not done:
+        many = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            told(both, least, many).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small, "a")
+        small_star = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = told(large, small_star, many)
         after = materialize(
             hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
+            .unionByName(small_star.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
         now = _signature(after)
         edges, done, before = after, now == before, now
-        if done:
-            break
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    inner = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return inner.unionByName(roots.join(inner, "node", "left_anti"))
+    inner = edges.groupBy("a").agg(F.min("b").alias("b"))
+    roots = edges.select(F.col("b").alias("a")).unionByName(alone.select("a")).distinct().withColumn("b", F.col("a"))
+    return materialize(inner.unionByName(roots.join(inner, "a", "left_anti")))

@@ -4,12 +4,13 @@ Two documents link when the Jaccard similarity of their sets of distinct word
 shingles reaches ``percent``. Candidates come from a prefix filter: tokens
 (shingle hashes) have one global order, rare first; a document indexes only
 the first tokens of its set. Tokens of low frequency are indexed singly.
-Frequent tokens are dealt into classes, and only *pairs* of tokens of one class
-are indexed; a class of c tokens then accounts for c - 1 possible differences
-rather than c, so the prefix is extended until all classes together account
-for one more difference than two linked documents can have. By the pigeonhole
-principle linked documents share an indexed key. Every candidate is verified
-on the complete sets.
+Frequent tokens are dealt into classes, and only combinations of k tokens of
+one class are indexed, pairs of frequent tokens and triples of the most
+frequent ones; a class of c tokens then accounts for c - k + 1 possible
+differences rather than c, so the prefix is extended until all classes
+together account for one more difference than two linked documents can have.
+By the pigeonhole principle linked documents share an indexed key. Every
+candidate is verified on the complete sets.
 
 The order needs frequencies. Counting all tokens would move the whole corpus,
 so only the tokens whose hash falls into the lowest ``universe`` share are
@@ -17,79 +18,99 @@ counted, exactly and over all documents, and these come first in the order; a
 prefix nearly always ends among them. A token that occurs in one document only
 takes its place in the prefix but can't yield a candidate and isn't indexed.
 
-Hot groups. Equal sets collapse to one representative before the join. Keys
-yield candidates only against the smallest document of a key, in blocks; after
-these links are merged, just the documents that remain outside their group's
-component are compared with the rest of that group, block by block, and each
-block reports a spanning forest rather than all pairs.
+Hot groups. Equal sets collapse to one representative before the join. A key
+yields candidates only against its head, the document with the smallest share
+of tokens of its own, in blocks. After these links are merged, just the
+documents outside the component of their head are open. If they are at most a
+block, they are compared with the rest of their group. If they are more, the
+combination that they share is extended by one token: a document that misses
+the head can link only with those that share enough tokens outside the head
+with it (see ``_residual``), so each of the rarest of these tokens, together
+with the head, is a longer key, and the search goes on with these keys and
+their heads until no group is open.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (
-    WHITE_SPACE,
-    WordHasher,
-    constants,
-    join_salted,
-    materialize,
-    mix,
-    pack,
-    partitions,
-    route,
-    runs,
-    split_by_part,
-    text_windows,
-    unpack,
-)
+from .common import constants, join_salted, materialize, mix, pack, partitions, route, runs, split_by_part, unpack
 from .components import connected_components
 
 CELL = "kind int, part long, cell binary"
 SET = "doc_id long, n long, h1 long, h2 long, tokens binary"
 #: A member's side in a job: left 0, right 1, or both.
 BOTH = 2
-SIGNATURE = "doc_id long, n long, h1 long, h2 long, keys array<long>"
+SIGNATURE = "doc_id long, n long, h1 long, h2 long, silent long, keys array<long>"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- sets -------------------------------------------------------------------
 
 
+class _WordHashes(dict):
+    """The 64-bit BLAKE2b hashes of words, kept for as long as there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
 class ShingleSets:
-    """The sorted distinct shingle hashes of each text of a batch."""
+    """The sorted distinct shingle hashes of a text, A-Z lower-cased.
+
+    A word's hash is BLAKE2b, so no text can be made whose words collide by
+    their form; a shingle's hash mixes those of its words one after the other.
+    """
 
-    def __init__(self, size: int):
-        self.size = size
-        self.words = WordHasher(WHITE_SPACE)
-        self.weights = constants(size, 41)
-        self.whole = constants(size, 43)
+    def __init__(self, size: int, window: int = 1 << 20):
+        self.size, self.window = size, window
+        self.hashes = _WordHashes()
+        self.step, self.whole = constants(1, 41)[0], constants(size, 43)
+
+    def words(self, text: bytes) -> np.ndarray:
+        """Hashes of the words of a text, taken in slices that end between words."""
+        out, at, get = [], 0, self.hashes.__getitem__
+        while at < len(text):
+            gap = SPACE.search(text, at + self.window) if at + self.window < len(text) else None
+            stop = gap.start() if gap else len(text)
+            found = text[at:stop].lower().split()  # bytes split at the same white space
+            out.append(np.fromiter(map(get, found), np.uint64, len(found)))
+            at = stop
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
+
+    def _chained(self, parts: list[np.ndarray]) -> np.ndarray:
+        s = parts[0].copy()
+        for part in parts[1:]:
+            s *= self.step
+            s ^= s >> np.uint64(32)
+            s += part
+        return mix(s)
+
+    def of(self, text: bytes) -> np.ndarray:
+        w, k = self.words(text), self.size
+        if len(w) >= k:
+            s = np.sort(self._chained([w[j : len(w) - k + 1 + j] for j in range(k)]))
+            return s[np.r_[True, s[1:] != s[:-1]]]
+        return self._chained([*w[:, None], self.whole[len(w) : len(w) + 1]]) if len(w) else w
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        k = self.size
-        for first, data, offsets in text_windows(texts):
-            hashes, bounds = self.words(data, offsets)
-            count = len(hashes) - k + 1
-            if count > 0:
-                sums = hashes[:count] * self.weights[0]
-                for j in range(1, k):
-                    sums += hashes[j : j + count] * self.weights[j]
-                shingles = mix(sums)
-            for row in range(len(offsets) - 1):
-                lo, hi = bounds[row], bounds[row + 1]
-                if hi - lo >= k:
-                    s = np.sort(shingles[lo : hi - k + 1])
-                    yield first + row, s[np.r_[True, s[1:] != s[:-1]]]
-                elif hi > lo:
-                    short = hashes[lo:hi] * self.weights[: hi - lo]
-                    yield first + row, mix(short.sum(keepdims=True) + self.whole[hi - lo : hi - lo + 1])
-                else:
-                    yield first + row, np.zeros(0, np.uint64)
+        for row, text in enumerate(texts):
+            value = text.as_py()
+            yield row, self.of(value.encode() if value else b"")
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -103,14 +124,21 @@ def _allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def _tiers(n: int, percent: int) -> list[tuple[int, int]]:
-    """(tier, number of token classes) under which a set of n indexes pairs.
+def _lonely(n: int, percent: int) -> bool:
+    """Whether a set of n can link with equal sets only."""
+    return _allowed(n, percent) == 0 and n * 100 // percent == n
 
-    The number of classes follows the size, and linked sets may lie on two
-    sides of a step, so a set near the next step indexes under both.
+
+def _tiers(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(tier, number of token classes for pairs, and for triples) under which a set of n indexes combinations.
+
+    The numbers of classes follow the size, and linked sets may lie on two
+    sides of a step, so a set near the next step indexes under both. Classes
+    take up no more than a quarter of a set, so its prefix always ends; small
+    sets have no triples.
     """
     own, above = n.bit_length() - 1, (n * 100 // percent).bit_length() - 1
-    return [(t, max(1, (1 << t) // 8)) for t in sorted({own, above})]
+    return [(t, max(1, (1 << t) // 8), (1 << t) // 16) for t in sorted({own, above})]
 
 
 # --- first pass: lowest hashes of every document ------------------------------
@@ -141,9 +169,9 @@ def _emit(size: int, percent: int, universe: float, parts: int, flush: int = 1 <
             for row, s in sets(batch.column(1)):
                 n = len(s)
                 take = low = 0
-                if n >= 4:
+                if not _lonely(n, percent):
                     low = int(np.searchsorted(s, ceiling))
-                    take = min(n, max(low, _allowed(n, percent) + 1 + max(c for _, c in _tiers(n, percent))))
+                    take = min(n, max(low, _allowed(n, percent) + 1 + max(two + 2 * three for _, two, three in _tiers(n, percent))))
                 docs.append(ids[row])
                 owners.append(take)
                 metas.append((ids[row], n, *_digest(s), low, take))
@@ -200,9 +228,9 @@ def _count(parts: int):
 
 def index_keys(
     n: int, silent: int, low: np.ndarray, low_frequency: np.ndarray, high: np.ndarray,
-    high_frequency: np.ndarray, percent: int, frequent: int,
+    high_frequency: np.ndarray, percent: int, frequent: int, hot: int,
 ) -> np.ndarray:
-    """Keys of one set: single rare tokens and pairs of frequent tokens of one class.
+    """Keys of one set: single rare tokens, and pairs or triples of frequent tokens of one class.
 
     ``low``/``high`` are its shared tokens inside and above the counted
     universe; ``silent`` is how many of its universe tokens no other set has.
@@ -215,8 +243,8 @@ def index_keys(
     tokens = [*low[first].tolist(), *high[second].tolist()]
     counts = [*low_frequency[first].tolist(), *high_frequency[second].tolist()]
     single: set[int] = set()
-    pairs: list[tuple[int, int, int]] = []
-    for tier, classes in _tiers(n, percent):
+    combined: dict[int, list[tuple[int, ...]]] = {2: [], 3: []}
+    for tier, two, three in _tiers(n, percent):
         got, groups = silent, {}
         for token, count in zip(tokens, counts, strict=True):
             if got >= need:
@@ -225,19 +253,23 @@ def index_keys(
                 single.add(token)
                 got += 1
                 continue
-            group = groups.setdefault((token >> 7) % classes, [])
-            got += bool(group)
-            pairs += [(min(token, x), max(token, x), tier) for x in group]
+            k = 3 if count > hot and three else 2
+            group = groups.setdefault((k, (token >> 7) % (three if k == 3 else two)), [])
+            got += len(group) >= k - 1
+            combined[k] += [(tier, token, *others) for others in combinations(group, k - 1)]
             group.append(token)
     keys = [mix(np.fromiter(single, np.uint64, len(single)) ^ np.uint64(0x517CC1B727220A95))]
-    if pairs:
-        a, b, t = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
-        w = constants(3, 47)
-        keys.append(mix(a * w[0] + mix(b * w[1] + t * w[2])))
+    for found in combined.values():
+        if found:  # the tokens of a combination stand in the global order
+            columns, w = np.array(found, np.uint64).T, constants(2, 47)
+            key = columns[0] * w[0]
+            for column in columns[1:]:
+                key = mix(key + column * w[1])
+            keys.append(key)
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
-def _sign(percent: int, universe: float, frequent: int):
+def _sign(percent: int, universe: float, frequent: int, hot: int):
     ceiling = np.uint64(int(universe * 2**64))
 
     def run(table: pa.Table) -> pa.Table:
@@ -263,16 +295,18 @@ def _sign(percent: int, universe: float, frequent: int):
         else:
             docs, tokens, frequency = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         lo, hi = np.searchsorted(docs, meta[:, 0]), np.searchsorted(docs, meta[:, 0], "right")
-        keys = []
+        keys, silent = [], []
         for (_, n, _, _, lows, _), a, b in zip(meta.tolist(), lo, hi, strict=True):
             t, f = tokens[a:b], frequency[a:b]
             cut = int(np.searchsorted(t, ceiling))
-            keys.append(index_keys(n, max(0, lows - cut), t[:cut], f[:cut], t[cut:], f[cut:], percent, frequent)
-                        if n >= 4 and b > a else np.zeros(0, np.int64))
+            silent.append(max(0, lows - cut))
+            own = (n, silent[-1], t[:cut], f[:cut], t[cut:], f[cut:])
+            keys.append(index_keys(*own, percent, frequent, hot) if b > a else np.zeros(0, np.int64))
         ends = np.cumsum([0, *map(len, keys)])
         values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
-        return pa.table({**{c: pa.array(meta[:, i], pa.int64()) for i, c in enumerate(("doc_id", "n", "h1", "h2"))}, "keys": lists})
+        columns = {c: pa.array(meta[:, i], pa.int64()) for i, c in enumerate(("doc_id", "n", "h1", "h2"))}
+        return pa.table({**columns, "silent": pa.array(silent, pa.int64()), "keys": lists})
 
     return run
 
@@ -340,22 +374,120 @@ def _verify(percent: int):
     return run
 
 
+def _overlap(a: int, b: int, percent: int) -> int:
+    """Tokens that linked sets of a and b have in common at least."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _residual(percent: int, parts: int):
+    """Cells of the members of a job: their tokens outside their head, by key, and what is known of each.
+
+    Let x be open, that is not linked with its head h, and y link with x. Then
+    at least |x & y| - |x & h| of the tokens that they share lie outside h.
+    That is one at least if y is no smaller than h, for |x & h| is too little
+    for a link of x with a set of that size. So x takes part with its rarest
+    tokens outside h, all but as many as it must share less one; others, which
+    any open document may link with, take part with all of them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side, tokens = table.column("side").to_numpy(), table.column("tokens").to_pylist()
+        h = np.frombuffer(tokens[int(np.argmin(side))], np.uint64)
+        head = table.column("head")[0].as_py()
+        ids, n, own, out, least = (table.column(c).to_numpy() for c in ("doc_id", "n", "own", "out", "least"))
+        scope = mix(np.array([head], np.int64).view(np.uint64))[0]
+        members, found = [], []
+        for i in np.flatnonzero((side == 1) & ((out == 1) | (n >= len(h)))).tolist():
+            x = np.frombuffer(tokens[i], np.uint64)
+            more = np.setdiff1d(x, h, assume_unique=True)
+            least_partner = max(int(least[i]), -(-percent * len(x) // 100))
+            shared = max(1, _overlap(len(x), least_partner, percent) - (len(x) - len(more))) if out[i] else 1
+            if len(more) >= shared:
+                members.append((head, ids[i], n[i], own[i], out[i], len(more), len(more) - shared + 1))
+                found.append(more)
+        rows = []
+        if members:
+            meta = np.array(members, np.int64)
+            doc = np.repeat(meta[:, 1], meta[:, 5])
+            key = mix(np.concatenate(found) ^ scope)
+            for part, arrays in split_by_part(route(key, parts), key, np.full(len(key), head), doc):
+                rows.append((0, part, pack(*arrays)))
+            for part, (some,) in split_by_part(route(_member(meta[:, 0], meta[:, 1]), parts), meta):
+                rows.append((1, parts + part, pack(*some.T)))
+        return pa.Table.from_batches([_cells(rows)])
+
+    return run
+
+
+def _member(head: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(head.view(np.uint64)) ^ doc.view(np.uint64)
+
+
+def _shared(parts: int):
+    """Keys that several members have, with their counts, sent back to their members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == 1:
+            return table.select(["kind", "part", "cell"])
+        key, head, doc = (np.concatenate(c) for c in zip(*map(unpack, table.column("cell").to_pylist()), strict=True))
+        order = np.argsort(key, kind="stable")
+        key, head, doc = key[order], head[order], doc[order]
+        _, lengths = runs(key)
+        count = np.repeat(lengths, lengths)
+        some = count > 1
+        arrays = head[some], doc[some], key[some], count[some]
+        rows = [(0, parts + part, pack(*own)) for part, own in split_by_part(route(_member(*arrays[:2]), parts), *arrays)]
+        return pa.Table.from_batches([_cells(rows)])
+
+    return run
+
+
+MEMBER = "head long, doc_id long, n long, own long, out long, keys array<long>"
+
+
+def _extend(table: pa.Table) -> pa.Table:
+    """The longer keys of every member of a part: of its rarest tokens outside the head those that others have too."""
+    metas, entries = [], [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]]
+    for kind, cell in zip(table.column("kind").to_pylist(), table.column("cell").to_pylist(), strict=True):
+        if kind == 1:
+            metas.append(np.stack(unpack(cell), 1))
+        else:
+            entries.append(unpack(cell))
+    meta = np.concatenate(metas) if metas else np.zeros((0, 7), np.int64)
+    meta = meta[np.lexsort((meta[:, 1], meta[:, 0]))]
+    head, doc, key, count = (np.concatenate(c) for c in zip(*entries, strict=True))
+    order = np.lexsort((key, count, doc, head))
+    head, doc, key, count = head[order], doc[order], key[order], count[order]
+    starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (doc[1:] != doc[:-1])]) if len(head) else np.zeros(0, np.int64)
+    own = {(head[a], doc[a]): (a, b) for a, b in zip(starts.tolist(), np.r_[starts[1:], len(head)].tolist(), strict=False)}
+    keys = []
+    for row in meta.tolist():
+        a, b = own.get((row[0], row[1]), (0, 0))
+        alone = row[5] - (b - a)  # tokens that no other member has come first
+        keys.append(key[a : a + min(b - a, max(0, row[6] - alone))])
+    ends = np.cumsum([0, *map(len, keys)])
+    values = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+    columns = {c: pa.array(meta[:, i], pa.int64()) for i, c in enumerate(("head", "doc_id", "n", "own", "out"))}
+    return pa.table({**columns, "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))})
+
+
 def _sets(size: int):
+    """The sets of texts whose rows are the chosen ones of their doc_id, by size and digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets(size)
-        names = ["doc_id", "n", "h1", "h2", "tokens"]
-        kinds = [pa.int64()] * 4 + [pa.binary()]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
-            )
+            ids, cells = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "tokens"])
 
         for batch in batches:
-            ids, rows, held = batch.column(0).to_pylist(), [], 0
-            for row, s in sets(batch.column(1)):
-                rows.append((ids[row], len(s), *_digest(s), s.tobytes()))
-                held += s.nbytes
+            ids, n, h1, h2 = (batch.column(c).to_pylist() for c in ("doc_id", "n", "h1", "h2"))
+            rows, held = [], 0
+            for row, s in sets(batch.column("text")):
+                if (len(s), *_digest(s)) == (n[row], h1[row], h2[row]):
+                    rows.append((ids[row], s.tobytes()))
+                    held += s.nbytes
                 if held > 1 << 23:
                     yield made(rows)
                     rows, held = [], 0
@@ -365,28 +497,36 @@ def _sets(size: int):
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame, small: int) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; ids travel to all tasks only if few, by count."""
-    if ids.count() <= small:
-        ids = F.broadcast(ids)
-    else:
-        ids = ids.hint("shuffle_hash")
-    return docs.join(ids, "doc_id", "left_semi")
-
-
-def signatures(docs: DataFrame, size: int, percent: int, universe: float, frequent: int) -> DataFrame:
-    """doc_id, set size n, set digest h1 h2 and index keys of every document."""
+def signatures(docs: DataFrame, size: int, percent: int, universe: float, frequent: int, hot: int) -> DataFrame:
+    """doc_id, set size n, set digest h1 h2, tokens of its own and index keys of every document."""
     parts = partitions(docs.sparkSession)
     return (
         docs.mapInArrow(_emit(size, percent, universe, parts), CELL)
         .groupBy("part").applyInArrow(_count(parts), CELL)
-        .groupBy("part").applyInArrow(_sign(percent, universe, frequent), SIGNATURE)
+        .groupBy("part").applyInArrow(_sign(percent, universe, frequent, hot), SIGNATURE)
+    )
+
+
+def _star(entries: DataFrame) -> DataFrame:
+    """doc_id, n, own, head, head_n of all documents that share a key (key, doc_id, n, own, out) with its head, once each.
+
+    Keys without a document that is out yield nothing.
+    """
+    heads = (
+        entries.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("c"), F.max("out").alias("out"))
+        .where("c > 1 and out > 0").select("key", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n"))
     )
+    return entries.join(heads, "key").where("doc_id <> head").select("doc_id", "n", "own", "head", "head_n").distinct()
+
+
+def _deal(column: str, seed: int, count, block: int):
+    """A block of a group for every row, by a hash of the column."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.ceil(count / block)).cast("long")
 
 
 def ngram_jaccard(
     documents: DataFrame, *, size: int = 5, percent: int = 80, universe: float = 1 / 3,
-    frequent: int = 64, block: int = 256, small: int = 200_000,
+    frequent: int = 64, hot: int = 2048, block: int = 256, small: int = 200_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -398,95 +538,115 @@ def ngram_jaccard(
 
     Null or empty texts have an empty set and link with nothing. Rows without a
     doc_id are left out. Rows that repeat a doc_id count as one document, with
-    the largest of their sets. An empty table gives an empty result.
-
-    ``small`` bounds the ids that may be broadcast (16 bytes each); beyond it
-    they are joined by shuffle. ``block`` is the side of a verified block.
+    the largest of their sets. A very long text is hashed in slices; its set is
+    whole. An empty table gives an empty result.
+
+    None of these changes the result: ``small`` bounds the ids that may be
+    broadcast (40 bytes each), beyond it they are joined by shuffle; ``frequent``
+    and ``hot`` are the frequencies from which tokens are indexed in pairs and
+    triples; ``block`` is the side of a verified block, and a group with more
+    open documents gets longer keys.
     """
     if percent <= 50:
         raise ValueError("percent must be over 50")
+    parts = partitions(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    meta = materialize(signatures(docs, size, percent, universe, frequent))
-    classes = (
+    meta = materialize(signatures(docs, size, percent, universe, frequent, hot))
+    classes = materialize(
         meta.where("n > 0").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.min_by("n", "doc_id").alias("n"), F.min_by("keys", "doc_id").alias("keys"))
-    )
-    classes = materialize(classes)
-    entries = classes.select("rep", "n", F.explode("keys").alias("key"))
-    heads = (
-        entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1").select("key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
-    )
-    star = materialize(
-        entries.join(heads, "key").where("rep <> head")
-        .select(F.col("rep").alias("doc_id"), "n", "head", "head_n").distinct()
+        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "silent", "keys"), "doc_id").alias("s"))
+        .select("h1", "h2", "rep", "s.*")
     )
+    # the share of tokens of its own, roughly; among equals, who has more keys has more that others have too
+    own = F.floor(F.col("silent") * 64 / F.col("n")) * (1 << 32) - F.size("keys")
+    star = materialize(_star(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"), "n", own.alias("own"), F.lit(1).alias("out"))))
     needed = star.select("doc_id").unionByName(star.select(F.col("head").alias("doc_id"))).distinct()
-    sets = materialize(
-        _only(docs, needed, small).mapInArrow(_sets(size), SET)
-        .groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2", "tokens")).alias("s"))
-        .select("doc_id", F.col("s.n").alias("n"), F.col("s.tokens").alias("tokens"))
-    )
+    needed = classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2").join(needed, "doc_id", "left_semi")
+    needed = F.broadcast(needed) if needed.count() <= small else needed.hint("shuffle_hash")
+    sets = materialize(docs.join(needed, "doc_id").select("doc_id", "text", "n", "h1", "h2").mapInArrow(_sets(size), "doc_id long, tokens binary"))
 
     def verified(jobs: DataFrame) -> DataFrame:
-        return (
-            jobs.join(sets.select("doc_id", "tokens"), "doc_id")
-            .groupBy("job").applyInArrow(_verify(percent), "a long, b long")
+        """Links (a, b) between the sides of the jobs (job, doc_id, side)."""
+        return jobs.join(sets, "doc_id").groupBy("job").applyInArrow(_verify(percent), "a long, b long")
+
+    def job(i, j, *sizes):
+        return F.struct("head", i.alias("i"), j.alias("j"), *sizes).alias("job")
+
+    def opened(members: DataFrame, label: DataFrame) -> DataFrame:
+        """The groups (head, head_n, doc_id, n, own) with documents that are out, that is outside the component of their head."""
+        groups = (
+            members.join(label.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left")
+            .withColumn("component", F.coalesce("component", "doc_id"))
+        )
+        tops = label.select(F.col("a").alias("head"), F.col("b").alias("top"))
+        groups = join_salted(groups, tops, "head", "doc_id", "left").withColumn("out", F.col("component") != F.coalesce("top", "head"))
+        facts = groups.groupBy("head").agg(
+            F.sum(F.col("out").cast("long")).alias("outside"), F.count(F.lit(1)).alias("c"), F.min("n").alias("least"),
+            F.count_if(F.col("n") < F.col("head_n")).alias("below"),
+        ).where("outside > 0 and c > 2")
+        return materialize(
+            join_salted(groups, facts, "head", "doc_id").withColumn("sizes", F.floor(F.log2(F.col("n").cast("double")) * 4).cast("long"))
         )
 
-    # every candidate against the smallest document of its key
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / block)).cast("long")
-    sized = star.where(f"least(n, head_n) * 100 >= {percent} * greatest(n, head_n)")
-    near = join_salted(sized, sized.groupBy("head").agg(F.count(F.lit(1)).alias("c")), "head", "doc_id").select(
-        F.struct("head", salt.alias("i"), F.lit(-1).cast("long").alias("j")).alias("job"), "doc_id", "head"
-    )
-    members = near.select("job", "doc_id", F.lit(1).alias("side"))
-    heads_of = near.select("job", F.col("head").alias("doc_id")).distinct().withColumn("side", F.lit(0))
-    links = materialize(verified(members.unionByName(heads_of)))
-    label = connected_components(links)
-
-    # what is outside its group's component, against all of that group
-    groups = (
-        star.select("head", "doc_id", "n")
-        .unionByName(star.select("head", F.col("head").alias("doc_id"), F.col("head_n").alias("n")).distinct())
-        .join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    )
-    tops = label.select(F.col("node").alias("head"), F.col("component").alias("top"))
-    groups = join_salted(groups, tops, "head", "doc_id", "left").withColumn("out", F.col("component") != F.coalesce("top", "head"))
-    open_groups = groups.groupBy("head").agg(
-        F.sum(F.col("out").cast("long")).alias("outside"), F.count(F.lit(1)).alias("c")
-    ).where("outside > 0 and c > 2")
-    open_rows = materialize(
-        join_salted(groups, open_groups, "head", "doc_id")
-        .withColumn("i", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("outside") / block)).cast("long"))
-        .withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("c") / block)).cast("long"))
-        .withColumn("sizes", F.floor(F.log2(F.col("n").cast("double")) * 4).cast("long"))
-    )
+    none, whole = F.lit(-1).cast("long"), F.lit(-1).cast("long")
     reach = int(4 * math.log2(100 / percent)) + 1  # steps of sizes that linked sets may lie apart
-    # a small group is one job that gets each member once, without those of sizes that none outside can link with
-    few = F.col("c") <= block
-    wanted = open_rows.where(few & F.col("out")).groupBy("head").agg(F.collect_set("sizes").alias("outer"))
-    near_size = F.exists("outer", lambda s: F.abs(s - F.col("sizes")) <= reach)
-    whole = open_rows.where(few).join(wanted, "head").where(near_size).select(
-        F.struct("head", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")).alias("job"), "doc_id",
-        F.when(F.col("out"), BOTH).otherwise(1).alias("side"),
-    )
-    # in a large group, blocks pair up only with blocks whose sizes allow a link
-    large = open_rows.where(~few)
-    span = large.select("head", "j", "sizes").distinct()
-    left = large.where("out").select("head", "i", F.col("sizes").alias("s"), "doc_id")
-    pairs = left.select("head", "i", "s").distinct().join(span, "head").where(F.abs(F.col("s") - F.col("sizes")) <= reach)
-    job = F.struct(F.col("head"), (F.col("i") * 4096 + F.col("s")).alias("i"), (F.col("j") * 4096 + F.col("sizes")).alias("j")).alias("job")
-    pairs = pairs.select(job, "head", "i", "s", "j", "sizes")
-    sides = (
-        whole.unionByName(pairs.join(left, ["head", "i", "s"]).select("job", "doc_id", F.lit(0).alias("side")))
-        .unionByName(pairs.join(large.select("head", "j", "sizes", "doc_id"), ["head", "j", "sizes"]).select("job", "doc_id", F.lit(1).alias("side")))
-    )
-    more = materialize(verified(sides))
-    label = connected_components(links.unionByName(more))
+    label, open_rows, most = None, None, block
+    while True:
+        # every candidate against the head of its key
+        sized = star.where(f"least(n, head_n) * 100 >= {percent} * greatest(n, head_n)")
+        counted = join_salted(sized, sized.groupBy("head").agg(F.count(F.lit(1)).alias("c")), "head", "doc_id")
+        near = counted.select(job(_deal("doc_id", 0, F.col("c"), block), none), "doc_id", "head")
+        heads_of = near.select("job", F.col("head").alias("doc_id")).distinct().withColumn("side", F.lit(0))
+        links = materialize(verified(near.select("job", "doc_id", F.lit(1).alias("side")).unionByName(heads_of)))
+        label = connected_components(links if label is None else links.unionByName(label), small)
+
+        members = (
+            star.select("head", "head_n", "doc_id", "n", "own")
+            .unionByName(star.selectExpr("head", "head_n", "head AS doc_id", "head_n AS n", "0L AS own").distinct())
+        )
+        rows = opened(members, label)
+
+        # a small group is one job that gets each member once, without those of sizes that none outside can link with
+        in_one = F.col("c") <= block
+        wanted = rows.where(in_one & F.col("out")).groupBy("head").agg(F.collect_set("sizes").alias("outer"))
+        near_size = F.exists("outer", lambda s: F.abs(s - F.col("sizes")) <= reach)
+        jobs = rows.where(in_one).join(wanted, "head").where(near_size).select(
+            job(whole, whole, whole.alias("s"), whole.alias("t")), "doc_id", F.when(F.col("out"), BOTH).otherwise(1).alias("side")
+        )
+        # in a larger one those that are out, block by block, meet the others, or only those that are smaller than the
+        # head; blocks of sizes that allow no link don't meet
+        part = F.col("outside") <= most
+        left = rows.where(~in_one & F.col("out")).select("head", _deal("doc_id", 2, F.col("outside"), block).alias("i"), F.col("sizes").alias("s"), "doc_id")
+        right = rows.where(~in_one & (part | (F.col("n") < F.col("head_n")))).select(
+            "head", _deal("doc_id", 1, F.when(part, F.col("c")).otherwise(F.col("below")), block).alias("j"), F.col("sizes").alias("t"), "doc_id"
+        )
+        pairs = left.select("head", "i", "s").distinct().join(right.select("head", "j", "t").distinct(), "head").where(F.abs(F.col("s") - F.col("t")) <= reach)
+        pairs = pairs.select(job(F.col("i"), F.col("j"), "s", "t"), "head", "i", "j", "s", "t")
+        jobs = (
+            jobs.unionByName(pairs.join(left, ["head", "i", "s"]).select("job", "doc_id", F.lit(0).alias("side")))
+            .unionByName(pairs.join(right, ["head", "j", "t"]).select("job", "doc_id", F.lit(1).alias("side")))
+        )
+        links = materialize(verified(jobs))
+        label = connected_components(links.unionByName(label), small)
+
+        # the larger groups get longer keys, as long as that leaves half of what is open
+        many = rows.where(~in_one & ~part & (F.col("doc_id") != F.col("head")))
+        open_rows, before = many.where("out").count(), open_rows
+        if not open_rows:
+            break
+        if before is not None and 2 * open_rows > before:
+            most = 1 << 62
+        many = many.select(
+            job(_deal("doc_id", 3, F.col("c"), block), none), "head", "doc_id", "n", "own", F.col("out").cast("long").alias("out"), "least", F.lit(1).alias("side")
+        )
+        heads_of = many.select("job", "head").distinct().selectExpr("job", "head", "head AS doc_id", "0L AS n", "0L AS own", "0L AS out", "0L AS least", "0 AS side")
+        longer = materialize(
+            many.unionByName(heads_of).join(sets, "doc_id").groupBy("job").applyInArrow(_residual(percent, parts), CELL)
+            .groupBy("part").applyInArrow(_shared(parts), CELL).groupBy("part").applyInArrow(_extend, MEMBER)
+        )
+        star = materialize(_star(longer.select(F.explode("keys").alias("key"), "doc_id", "n", "own", "out")))
     named = classes.select("h1", "h2", "rep").join(
-        label.withColumnRenamed("node", "rep"), "rep", "left"
+        label.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left"
     ).select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     return meta.join(named, ["h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

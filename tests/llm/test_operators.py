@@ -82,12 +82,82 @@ def test_jaccard_agrees_with_brute_force(spark):
     for _ in range(10):  # a passage that unlike documents share
         rows.append((len(rows), " ".join(prose(rng, 90, 10**6) + common)))
     wide = [(d, t, "en", "s") for d, t in rows] + [(None, "a b c", None, None), rows[20] + ("en", "s")]
-    for options in ({}, {"frequent": 1}, {"block": 4, "small": 0}):
+    for options in ({}, {"frequent": 1, "hot": 3}, {"block": 4, "small": 0}):
         found = nj.ngram_jaccard(docs_of(spark, wide), **options).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
         assert len(found) == len(rows)
 
 
+def thue_morse(bits, a, b):
+    """A text on which a polynomial hash modulo a power of two equals that of its complement."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(1 << bits))
+
+
+def test_jaccard_tells_words_apart_that_a_polynomial_hash_does_not(spark):
+    one, two = thue_morse(12, "a", "b"), thue_morse(12, "b", "a")
+    rows = [(1, one), (2, two), (3, f"{one} x"), (4, one), (5, " ".join([one] * 9)), (6, " ".join([two] * 9))]
+    found = nj.ngram_jaccard(docs_of(spark, [(d, t, "en", "s") for d, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+@pytest.mark.parametrize("percent", [51, 60, 75])
+def test_small_sets_link_at_every_similarity(spark, percent):
+    rng, rows = random.Random(percent), []
+    for _ in range(40):
+        base = prose(rng, rng.randrange(3, 9), 6)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, f"y{len(rows)}"])), (len(rows) + 2, " ".join([*base, "y", "z"]))]
+    found = nj.ngram_jaccard(docs_of(spark, [(d, t, "en", "s") for d, t in rows]), size=1, percent=percent, frequent=1).collect()
+    sets = {d: frozenset(t.split()) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {r["doc_id"]: r["component_id"] for r in found} == {d: find(d) for d in sets}
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    """Groups far larger than a block, whose documents miss one another, some with families of their own inside."""
+    rng, rows = random.Random(8), [(0, None)]
+    for sizes in ((40, 40), (36, 44)):
+        base = prose(rng, 44, 10**5)
+        for _ in range(60):
+            text = list(base[: rng.randrange(sizes[0], sizes[1] + 1)])
+            for _ in range(rng.choice((0, 1, 2, 3))):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+            if rng.random() < 0.2:
+                rows.append((len(rows), " ".join([*text, f"z{len(rows)}"])))
+    wide = [(d, t, "en", "s") for d, t in rows]
+    for options in ({"frequent": 1, "hot": 2, "block": 4}, {"frequent": 4, "block": 2, "small": 0}):
+        found = nj.ngram_jaccard(docs_of(spark, wide), **options).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_very_long_text_is_hashed_whole(spark):
+    sets, text = nj.ShingleSets(5), " ".join(prose(random.Random(4), 60_000, 10**6)).encode()
+    assert np.array_equal(nj.ShingleSets(5, window=64).of(text), sets.of(text)) and len(sets.of(text)) > 59_000
+    long = text.decode()
+    found = nj.ngram_jaccard(docs_of(spark, [(1, long, "en", "s"), (2, long + " end", "en", "s"), (3, "end " * 9, "en", "s")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
+
+
+def test_components_converge_on_a_chain(spark):
+    from tessera.llm.components import connected_components
+
+    rows = [(i, i + 1) for i in range(200)] + [(500, 500), (300, 400), (301, 400), (400, 300)]
+    for small in (0, 10**6):
+        found = connected_components(spark.createDataFrame(rows, "a long, b long"), small).collect()
+        assert {r["a"]: r["b"] for r in found} == {**{i: 0 for i in range(201)}, 500: 500, 300: 300, 301: 300, 400: 300}
+
+
 def test_jaccard_of_nothing(spark):
     assert nj.ngram_jaccard(docs_of(spark, [])).count() == 0
 
@@ -106,7 +176,8 @@ def test_index_keys_meet_for_linked_sets():
             continue
         count = lambda s: np.where(s % 3 == 0, 2, 1000).astype(np.int32)
         none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        keys = [nj.index_keys(len(s), 0, s, count(s), none, zero, 80, 64) for s in (a, b)]
+        hot = int(rng.choice((500, 5000)))
+        keys = [nj.index_keys(len(s), 0, s, count(s), none, zero, 80, 64, hot) for s in (a, b)]
         assert len(np.intersect1d(*keys))
 
 
@@ -450,14 +521,3 @@ def test_cells_round_trip():
     assert all(np.array_equal(a, b) for a, b in zip(unpack(pack(*arrays)), arrays, strict=True))
 
 
-@pytest.mark.parametrize("limit", [64, 1 << 20])
-def test_word_hashes_do_not_depend_on_windows(limit):
-    from tessera.llm.common import WHITE_SPACE, WordHasher
-
-    texts = ["a bb  ccc", "", "x" * 500, "tail é"]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    whole, bounds = WordHasher(WHITE_SPACE)(data, offsets)
-    cut, same = WordHasher(WHITE_SPACE, window=limit)(data, offsets)
-    assert np.array_equal(whole, cut) and np.array_equal(bounds, same)
-    assert np.diff(bounds).tolist() == [3, 0, 1, 2]
