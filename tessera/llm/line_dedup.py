@@ -4,15 +4,18 @@ A line goes if an equal line, or one within a bound of edits that grows with
 the length of the shorter line, stands earlier in the corpus, by doc_id and
 line number of its first occurrence. Near lines are found by the pigeonhole
 principle: lines are dealt into classes by length, with one bound each; the
-characters that all lines of a class have are cut into bound + 1 segments, and
-a line within that many edits, of the same length or longer, contains one of
+characters that all lines of a class have are cut into bound + 1 segments, the
+first half counted from the start of a line and the other from its end, and a
+line within that many edits, of the same length or longer, contains one of
 them whole, near its place. Every line is indexed under its segments and probes
 the segments of its class and of those just below, with the substrings that can
-align with them. Candidates are verified with an edit
-distance by diagonals.
+align with them. Candidates are verified with a banded bit-parallel edit
+distance: one word holds the band of a column, and a batch of pairs goes
+through its columns together.
 
-Segments and substrings are hashed from prefix sums over a batch of texts, and
-(key, line) pairs move as packed columns. With each goes a 32-bit histogram of
+A line is known by a 64-bit BLAKE2b hash and its CRC-32. Segments and
+substrings are hashed from prefix sums over a batch of texts, which can only
+add candidates, and (key, line) pairs move as packed columns. With each goes a 32-bit histogram of
 the line's characters; edits move it little, so that most false candidates end
 where they are found, before any text is fetched. Equal lines are one line
 throughout; a batch sends one entry for each of its distinct lines.
@@ -29,10 +32,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from .common import BASE, BASE_INVERSE, constants, join_salted, materialize, mix
 
 CELL = "kind int, part long, cell binary"
 ENTRY, PLACE, GONE, FIRST, PAIR, OPEN = range(6)
+#: The CRC-32 in the code of a line.
+CHECK = (1 << 32) - 1
 #: An entry of a key that many lines share, for the second round.
 OPENED = "key long, line long, histogram long, roles int"
 
@@ -47,45 +52,128 @@ OPENED = "key long, line long, histogram long, roles int"
 # --- edit distance --------------------------------------------------------------
 
 
+def _advance(d0_of, vp, vn, ones):
+    """One column of the band (Myers' recurrences, Hyyro's sliding band): D0, HP, HN and the next VP, VN."""
+    d0 = (((d0_of & vp) + vp) ^ vp) | d0_of | vn
+    hp, hn = vn | (~(d0 | vp) & ones), d0 & vp
+    return d0, hp, hn, hn | (~((d0 >> 1) | hp) & ones), (d0 >> 1) & hp
+
+
 def within_edits(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of two strings is at most ``most``.
+    """Whether the edit distance of two strings is at most ``most``, for a band of any width.
 
-    For each number of edits and each diagonal it keeps how far into ``a`` an
-    alignment reaches; runs of equal characters are compared in growing slices.
+    Bit r of the band of column j stands for place j + r - most of the shorter
+    string, so the band holds every cell within ``most`` of the diagonal.
     """
+    if len(a) > len(b):
+        a, b = b, a
     m, n = len(a), len(b)
-    if abs(m - n) > most:
+    if n - m > most:
         return False
-    if a == b:
+    if a == b or n <= most:
         return True
+    width = 2 * most + 1
+    ones = (1 << width) - 1
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << (i + most)
+    vp, vn, score = ones & ~((1 << most) - 1), 0, most
+    if m <= most:  # the last row lies in the band from the start
+        score, low = m, most + m - 1
+    else:
+        low = width - 1
+    for j, c in enumerate(b):
+        matches = (masks.get(c, 0) >> j) & ones
+        d0, hp, hn, vp, vn = _advance(matches, vp, vn, ones)
+        if j + most < m:  # down the band's lower edge
+            score += not d0 >> (width - 1) & 1
+        else:  # along the last row
+            low = most + m - 1 - j
+            score += (hp >> low & 1) - (hn >> low & 1) if low >= 0 else 1
+        if score > 2 * most + n - m:
+            return False
+    return score <= most
+
+
+def near_pairs(texts: list[str], left: np.ndarray, right: np.ndarray, most: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
+    """Whether texts[left] and texts[right] are within ``most`` edits, for all pairs at once.
+
+    Pairs of one bound go by length in groups, whose tables of characters hold
+    at most ``cells`` entries. A band that fits no 64-bit word goes alone.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    swap = size[left] > size[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    same = np.zeros(len(left), bool)
+    close = size[right] - size[left] <= most
+    alone = close & ((most > 31) | (size[left] <= most))
+    for i in np.flatnonzero(alone).tolist():
+        same[i] = within_edits(texts[left[i]], texts[right[i]], int(most[i]))
+    todo = np.flatnonzero(close & ~alone)
+    if not len(todo):
+        return same
+    used = np.unique(np.r_[left[todo], right[todo]])
+    flat = np.frombuffer("".join(texts[i] for i in used.tolist()).encode("utf-32-le"), np.uint32)
+    alphabet, flat = np.unique(flat, return_inverse=True)
+    starts = np.zeros(len(texts), np.int64)
+    starts[used] = np.cumsum(size[used]) - size[used]
+    todo = todo[np.lexsort((-size[right[todo]], most[todo]))]
+    at = 0
+    while at < len(todo):
+        k, longest = int(most[todo[at]]), int(size[right[todo[at]]])
+        step = max(1, cells // max(len(alphabet) + 1, longest))
+        some = todo[at : at + step]
+        some = some[most[some] == k]
+        same[some] = _near_group(flat, len(alphabet) + 1, k, *(x[y[some]] for y in (left, right) for x in (starts, size)))
+        at += len(some)
+    return same
+
+
+def _near_group(flat: np.ndarray, sigma: int, k: int, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``within_edits`` for pairs of a[:m] and b[:n], longest b first, one column of all pairs at a time.
+
+    A pair has a mask for each character, in which place i of a has the bit i
+    modulo 64; places come and go as the band moves.
+    """
 
-    def reach(i: int, j: int) -> int:
-        left, step = min(m - i, n - j), 16
-        end = i + left
-        while i < end and a[i : i + min(step, end - i)] == b[j : j + min(step, end - i)]:
-            step = min(step, end - i)
-            i, j, step = i + step, j + step, 2 * step
-        step = min(step, end - i)
-        while step > 1:
-            half = step // 2
-            if a[i : i + half] == b[j : j + half]:
-                i, j, step = i + half, j + half, step - half
-            else:
-                step = half
-        return i + (step == 1 and a[i] == b[j])
-
-    last, none = {0: reach(0, 0)}, -(m + n + 2)
-    for e in range(1, most + 1):
-        now = {}
-        for d in range(max(-e, n - m - most + e), min(e, n - m + most - e) + 1):  # b's place less a's; the others can't get back
-            i = max(last.get(d, none) + 1, last.get(d + 1, none) + 1, last.get(d - 1, none))
-            i = min(i, m, n - d)
-            if i >= 0 and i + d >= 0:
-                now[d] = reach(i, i + d)
-        if now.get(n - m, none) == m:
-            return True
-        last = now
-    return last.get(n - m, none) == m
+    def cells(start: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+        """For each place and pair, where the pair's mask for its character is; behind the end, that of none."""
+        place = np.arange(rows)[:, None]
+        c = flat[np.minimum(start + place, len(flat) - 1)]
+        return np.where(place < size, c, sigma - 1) + np.arange(len(start)) * sigma
+
+    count, width = len(a), 2 * k + 1
+    own, other = cells(a, m, int(n.max()) + k), cells(b, n, int(n.max()))
+    table = np.zeros(count * sigma, np.uint64)
+    one, ones, lowest = np.uint64(1), np.uint64((1 << width) - 1), np.uint64(width - 1)
+    vp, vn = np.full(count, int(ones) & ~((1 << k) - 1), np.uint64), np.zeros(count, np.uint64)
+    score, bound, live = np.full(count, k), 2 * k + n - m, count
+    blank = np.arange(1, count + 1) * sigma - 1
+    for i in range(k):
+        table[own[i]] |= one << np.uint64(i)
+    for j in range(int(n.max())):
+        live = int(np.searchsorted(-n, -j)) if j >= n[live - 1] else live
+        table[own[j + k]] |= one << np.uint64((j + k) & 63)
+        if j > k:
+            table[own[j - k - 1]] &= ~(one << np.uint64((j - k - 1) & 63))
+        table[blank] = 0
+        turn = (j - k) & 63
+        x = table[other[j, :live]]
+        x = (x >> np.uint64(turn) | x << np.uint64(64 - turn) if turn else x) & ones
+        p, q = vp[:live], vn[:live]
+        d0 = ((((x & p) + p) ^ p) | x | q) & ones
+        hp, hn = q | (~(d0 | p) & ones), d0 & p
+        half = d0 >> one
+        vp[:live], vn[:live] = hn | (~(half | hp) & ones), half & hp
+        down = j + k < m[:live]
+        score[:live] += down & ((d0 >> lowest & one) == 0)
+        if not down.all():  # along the last row
+            low = (k + m[:live] - 1 - j).clip(0, 63).astype(np.uint64)
+            along = (hp >> low & one).astype(np.int64) - (hn >> low & one).astype(np.int64)
+            score[:live] += np.where(down, 0, along)
+        if j % 32 == 31 and (score[:live] > bound[:live]).all():
+            break
+    return score <= k
 
 
 # --- entries ----------------------------------------------------------------------
@@ -124,7 +212,7 @@ class Lines:
         codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         self.flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         ends = np.cumsum([0, *map(len, codes)])
-        doc, number, start, stop, sums = [], [], [], [], []
+        doc, number, start, stop, sums, hashes = [], [], [], [], [], []
         for i, c in enumerate(codes):
             cuts = np.flatnonzero(c == 10)
             first, last = np.r_[0, cuts + 1], np.r_[cuts, len(c)]
@@ -133,9 +221,12 @@ class Lines:
             number.append(keep)
             start.append(first[keep] + ends[i])
             stop.append(last[keep] + ends[i])
-            sums.append(np.array([zlib.crc32(texts[i][a:b].encode()) for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)], np.int64))
+            own = [texts[i][a:b].encode() for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+            sums.append(np.array([zlib.crc32(line) for line in own], np.int64))
+            hashes += [blake2b(line, digest_size=8).digest() for line in own]
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         self.doc, self.number, self.start, self.stop, check = map(join, (doc, number, start, stop, sums))
+        self.hash = np.frombuffer(b"".join(hashes), np.uint64)
         self.code = self.number << 32 | check
         n = len(self.flat)
         up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INVERSE, np.uint64)
@@ -146,20 +237,21 @@ class Lines:
         self.sums = np.zeros(n + 1, np.uint64)
         odd, shift = constants(2, 61)
         np.cumsum((self.flat.astype(np.uint64) * odd + shift) * up[:n], out=self.sums[1:])
-        self.hash = self.part(self.start, self.stop) ^ mix((self.stop - self.start).astype(np.uint64))
 
     def part(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.down[start])
 
     def histogram(self, rows: np.ndarray) -> np.ndarray:
         """Eight 4-bit counts of the characters of each line, in classes by code."""
-        cls = (self.flat * np.uint32(2654435761)) >> np.uint32(29)
         out = np.zeros(len(rows), np.uint32)
-        for c in range(8):
-            total = np.zeros(len(self.flat) + 1, np.int64)
-            np.cumsum(cls == c, out=total[1:])
-            count = total[self.stop[rows]] - total[self.start[rows]]
-            out |= (count & 15).astype(np.uint32) << np.uint32(4 * c)
+        size = self.stop[rows] - self.start[rows]
+        for at in range(0, len(rows), 1 << 12):
+            some = slice(at, at + (1 << 12))
+            owner = np.repeat(np.arange(len(size[some])), size[some])
+            place = np.arange(len(owner)) + np.repeat(self.start[rows[some]] - (np.cumsum(size[some]) - size[some]), size[some])
+            cls = (self.flat[place] * np.uint32(2654435761)) >> np.uint32(29)
+            count = np.bincount(owner * 8 + cls, minlength=8 * len(size[some])).reshape(-1, 8).astype(np.uint32) & np.uint32(15)
+            out[some] = (count << (4 * np.arange(8, dtype=np.uint32))).sum(1, dtype=np.uint32)
         return out
 
     def entries(self, rows: np.ndarray, edits: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,8 +265,10 @@ class Lines:
         salt = constants(1, 67)[0]
 
         def keys(some: np.ndarray, size: np.ndarray, table: list[tuple[int, int, int]], role: int) -> tuple[np.ndarray, np.ndarray]:
+            """Keys of the parts (place, width, number) of lines; a place below 0 counts from the end."""
             at, width, number = np.array(table, np.int64).T
-            fits = at + width <= size[:, None]
+            at = np.where(at < 0, size[:, None] + at, at)
+            fits = (at >= 0) & (at + width <= size[:, None])
             begin = (self.start[some][:, None] + at)[fits]
             salts = np.broadcast_to(np.uint64(floor) * salt + order[number], fits.shape)[fits]
             key = mix(self.part(begin, begin + np.broadcast_to(width, fits.shape)[fits]) + salts)
@@ -183,13 +277,17 @@ class Lines:
 
         for floor, beyond in zip(floors, floors[1:], strict=False):
             most = int(bound(floor, edits))
-            cuts, order = segments(floor, most + 1), constants(most + 1, 71)
+            order = constants(most + 1, 71)
             lo, hi, reach = np.searchsorted(length, (floor, beyond, beyond + most))
             if lo == reach:
                 continue
-            yield keys(rows[lo:hi], length[lo:hi], [(at, n, i) for i, (at, n) in enumerate(cuts) if n], 0)
-            # multi-match-aware: some segment i is whole with i edits before it, and at most most - i after it
-            shifted = [(at + d, n, i) for i, (at, n) in enumerate(cuts) for d in range(-min(i, most - i), i + 1) if n and at + d >= 0]
+            # the segments of the second half lie where they do counted from the end
+            cuts = [(at if 2 * i <= most else at - floor, n, i) for i, (at, n) in enumerate(segments(floor, most + 1)) if n]
+            yield keys(rows[lo:hi], length[lo:hi], cuts, 0)
+            # some segment i is whole with i edits before it and at most most - i behind: it moves that far from its end at most
+            shifted = [
+                (at + d, n, i) for at, n, i in cuts for d in range(-min(i, most - i), min(i, most - i) + 1) if (at < 0 and at + n + d <= 0) or (at >= 0 and at + d >= 0)
+            ]
             step = max(1, (1 << 20) // len(shifted))
             for x in range(int(lo), int(reach), step):
                 y = min(x + step, int(reach))
@@ -203,7 +301,7 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
         lines, rows = Lines(texts, least), []
         ids = np.array(ids, np.int64)
         doc = ids[lines.doc] if len(lines.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((lines.code, doc, lines.hash))
+        order = np.lexsort((lines.code, doc, lines.code & CHECK, lines.hash))
         starts, again = _repeats(lines.hash[order], doc[order], lines.code[order])
         own, again = np.sort(order[starts]), np.sort(order[again])
         for part, arrays in split_by_part(route(lines.hash[own], parts), lines.hash[own], doc[own], lines.code[own]):
@@ -241,12 +339,14 @@ def _scan(edits: int, least: int, parts: int, limit: int = 1 << 20):
 
 
 def _repeats(line: np.ndarray, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted places of lines: the first of each line, and those that repeat it elsewhere.
+    """Of places sorted by line and CRC-32: the first of each line, and those that repeat it elsewhere.
 
     Rows that repeat a doc_id may hold the first occurrence once more; that is no repeat.
     """
-    starts, sizes = runs(line)
-    head = np.repeat(starts, sizes)
+    check = code & CHECK
+    new = np.r_[True, (line[1:] != line[:-1]) | (check[1:] != check[:-1])] if len(line) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    head = np.repeat(starts, np.diff(np.r_[starts, len(line)]))
     return starts, np.flatnonzero((doc != doc[head]) | (code != code[head]))
 
 
@@ -343,10 +443,15 @@ def _standing(edits: int, least: int, block: int = 256, width: int = 4096):
                 within = np.minimum(most[i], most[j])
                 ok &= np.abs(size[i] - size[j]) <= within
                 ok &= ~_apart(histogram[i], histogram[j], within)
-                near = np.zeros(len(left), bool)
-                for x in np.flatnonzero(ok.any(1)):
-                    own = text[int(left[x])].as_py()
-                    near[x] = any(within_edits(text[int(y)].as_py(), own, int(min(most[y], most[left[x]]))) for y in j[0, ok[x]])
+                near, tried, deep = np.zeros(len(left), bool), np.zeros(len(left), np.int64), 1
+                rank, rows = np.cumsum(ok, 1), ok.sum(1)
+                while (some := ~near & (tried < rows)).any():  # one proof is enough: the next few candidates of each line
+                    x, y = np.nonzero(ok & some[:, None] & (rank > tried[:, None]) & (rank <= tried[:, None] + deep))
+                    used, at_used = np.unique(np.r_[left[x], j[0, y]], return_inverse=True)
+                    words = [text[int(u)].as_py() for u in used]
+                    same = near_pairs(words, at_used[: len(x)], at_used[len(x) :], np.minimum(most[left[x]], most[j[0, y]]))
+                    near[x[same]] = True
+                    tried, deep = tried + deep, 2 * deep
                 gone.append(left[near])
                 left = left[~near]
         found = np.concatenate(gone) if gone else np.zeros(0, np.int64)
@@ -369,7 +474,7 @@ def _match(edits: int, parts: int, full: int):
             rows += [(OPEN, 0, pack(*(a[at : at + (1 << 16)] for a in held))) for at in range(0, len(held[0]), 1 << 16)]
             return pa.Table.from_batches([_cells(rows)])
         line, doc, code = columns
-        order = np.lexsort((code, doc, line))
+        order = np.lexsort((code, doc, code & CHECK, line))
         line, doc, code = line[order], doc[order], code[order]
         starts, again = _repeats(line, doc, code)
         rows = [(FIRST, 0, pack(line[starts].view(np.int64), doc[starts], code[starts]))]
@@ -394,10 +499,14 @@ def _rows(cells: DataFrame, kind: int, spec: str) -> DataFrame:
 def _near(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a_text"), batch.column("b_text")
-            most = bounds(np.minimum(*(pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (a, b))), edits, least).tolist()
-            same = [within_edits(x.as_py(), y.as_py(), n) for x, y, n in zip(a, b, most, strict=True)]
-            yield batch.select(["later"]).filter(pa.array(same, pa.bool_()))
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                texts = [*part.column("a_text").to_pylist(), *part.column("b_text").to_pylist()]
+                n = part.num_rows
+                size = np.array([len(t) for t in texts], np.int64)
+                most = bounds(np.minimum(size[:n], size[n:]), edits, least)
+                same = near_pairs(texts, np.arange(n), np.arange(n, 2 * n), most)
+                yield part.select(["later"]).filter(pa.array(same, pa.bool_()))
 
     return run
 
@@ -423,26 +532,28 @@ def gone_lines(
     place = F.struct("doc_id", "code", "line").alias("place")
 
     def texts_of(places: DataFrame) -> DataFrame:
-        """line, text of the lines at the given places (line, doc_id, code)."""
+        """doc_id, code, text of the lines at the given places (doc_id, code)."""
         owners = places.select("doc_id").distinct()
         owners = F.broadcast(owners) if owners.count() <= small else owners.hint("shuffle_hash")
         lines = docs.join(owners, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "text"))
-        return materialize(
-            places.join(lines.where(F.length("text") >= least).select("doc_id", line_code(F.col("number"), F.col("text")).alias("code"), "text"), ["doc_id", "code"]).groupBy("line").agg(F.min("text").alias("text"))
-        )
+        lines = lines.where(F.length("text") >= least).select("doc_id", line_code(F.col("number"), F.col("text")).alias("code"), "text")
+        return materialize(places.join(lines, ["doc_id", "code"]).groupBy("doc_id", "code").agg(F.min("text").alias("text")))
 
     pairs = _rows(cells, PAIR, "a long, b long").distinct()
     placed = materialize(
         pairs.join(first.select(F.col("line").alias("a"), place.alias("pa")), "a")
         .join(first.select(F.col("line").alias("b"), place.alias("pb")), "b")
-        .select(F.least("pa", "pb").alias("e"), F.greatest("pa", "pb").alias("l"))
+        .select(F.least("pa", "pb").alias("earlier"), F.greatest("pa", "pb").alias("later"))
     )
-    texts = texts_of(placed.select("e.*").unionByName(placed.select("l.*")).distinct())
+    texts = texts_of(placed.select("earlier.doc_id", "earlier.code").unionByName(placed.select("later.doc_id", "later.code")).distinct())
+
+    def text_at(side: str) -> DataFrame:
+        return texts.select(F.col("doc_id").alias(f"{side}_doc"), F.col("code").alias(f"{side}_code"), F.col("text").alias(f"{side}_text"))
+
     judged = (
-        placed.select(F.col("e.line").alias("earlier"), F.col("l.line").alias("later"), F.col("l").alias("at"))
-        .join(texts.select(F.col("line").alias("earlier"), F.col("text").alias("a_text")), "earlier")
-        .join(texts.select(F.col("line").alias("later"), F.col("text").alias("b_text")), "later")
-        .select(F.col("at").alias("later"), "a_text", "b_text")
+        placed.select(F.col("earlier.doc_id").alias("a_doc"), F.col("earlier.code").alias("a_code"), F.col("later.doc_id").alias("b_doc"), F.col("later.code").alias("b_code"), "later")
+        .join(text_at("a"), ["a_doc", "a_code"]).join(text_at("b"), ["b_doc", "b_code"])
+        .select("later", "a_text", "b_text")
         .mapInArrow(_near(edits, least), "later struct<doc_id:long,code:long,line:long>")
     )
     near = materialize(judged.select("later.*").distinct())
@@ -450,9 +561,9 @@ def gone_lines(
     opened = _rows(cells, OPEN, OPENED)
     places = materialize(opened.select("line").distinct().join(first, "line"))
     if not places.isEmpty():
-        standing = near.select("line", F.lit(False).alias("standing"))
+        standing = near.withColumn("standing", F.lit(False))
         lines = (
-            places.join(texts_of(places), "line").join(standing, "line", "left")
+            places.join(texts_of(places.select("doc_id", "code")), ["doc_id", "code"]).join(standing, ["line", "doc_id", "code"], "left")
             .withColumn("standing", F.coalesce("standing", F.lit(True))).withColumn("size", F.length("text").cast("long"))
         )
         gone = gone.unionByName(_judge_open(opened, materialize(lines), edits, least, *job_chars))

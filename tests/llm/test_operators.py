@@ -281,6 +281,29 @@ def test_banded_distance(a, b, most):
     assert ld.within_edits(a, b, most) == (edit_distance(a, b) <= most)
 
 
+def test_banded_distance_of_many_pairs():
+    rng, texts, most = random.Random(2), [], []
+    for _ in range(1200):
+        a = "".join(rng.choice("abcé") for _ in range(rng.choice((5, 40, 70, 140))))
+        b = list(a)
+        for _ in range(rng.randrange(9)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = [rng.choice("abz")] * rng.randrange(2)
+        texts += [a, "".join(b)]
+        most.append(rng.choice((0, 1, 2, 5, 9, 31, 40)))
+    left = np.arange(0, len(texts), 2)
+    wanted = [edit_distance(texts[i], texts[i + 1]) <= k for i, k in zip(left, most, strict=True)]
+    for cells in (200, 1 << 21):
+        assert ld.near_pairs(texts, left, left + 1, np.array(most), cells).tolist() == wanted
+
+
+def test_lines_that_a_polynomial_hash_confuses_stay(spark):
+    one, two = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    rows = [(1, one), (2, two), (3, f"{two}\n{one}"), (4, "é" * 40_000 + "x\n" + "é" * 40_000)]
+    found = ld.dedup_lines(docs_of(spark, [(d, t, "en", "s") for d, t in rows])).collect()
+    assert {r["doc_id"]: list(r["lines_gone"]) for r in found} == {1: [], 2: [], 3: [0, 1], 4: [1]}
+
+
 def brute_lines(rows, least, edits):
     first = {}
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
