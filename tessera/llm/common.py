@@ -43,11 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+    """``df`` written to the shared folder and read again; see ``release``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.parquet(f"{folder}/t")
+    table = spark.read.schema(df.schema).parquet(f"{folder}/t")
+    table._tessera_folder = folder
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialize`` returned and that nothing will read again."""
+    for table in tables:
+        if table is not None:
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(table._tessera_folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,6 +77,17 @@ def join_salted(rows: DataFrame, facts: DataFrame, key: str, spread: str, how: s
     return salted.join(spread_out, [key, "part"], how).drop("part")
 
 
+def join_by_id(docs: DataFrame, facts: DataFrame, how: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` joined with ``facts`` (one row a key, few columns) by shuffle, at every size alike.
+
+    Rows without the key find nothing; they are spread by their text, so that
+    they don't meet in one task.
+    """
+    spread = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    keyed = facts.withColumn("__spread", F.lit(0).cast("long")).hint("shuffle_hash")
+    return docs.withColumn("__spread", spread).join(keyed, [key, "__spread"], how).drop("__spread")
+
+
 # --- numpy columns in one binary cell ---------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_salted, materialize
+from .common import join_salted, materialize, release
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -27,10 +27,10 @@ def connected_components(links: DataFrame, small: int = 200_000) -> DataFrame:
     repeated links are harmless. A result may be handed in again, with more links.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = materialize(links.select(high.alias("a"), low.alias("b")).distinct())
+    given = materialize(links.select(high.alias("a"), low.alias("b")).distinct())
     # a node may come with a link to itself alone
-    alone = edges.where("a = b")
-    edges = edges.where("a <> b")
+    alone = given.where("a = b")
+    edges, last = given.where("a <> b"), None
     before = _signature(edges)
 
     def told(rows: DataFrame, facts: DataFrame, many: int) -> DataFrame:
@@ -54,7 +54,10 @@ def connected_components(links: DataFrame, small: int = 200_000) -> DataFrame:
             .distinct()
         )
         now = _signature(after)
-        edges, done, before = after, now == before, now
+        release(last)
+        edges, last, done, before = after, after, now == before, now
     inner = edges.groupBy("a").agg(F.min("b").alias("b"))
     roots = edges.select(F.col("b").alias("a")).unionByName(alone.select("a")).distinct().withColumn("b", F.col("a"))
-    return materialize(inner.unionByName(roots.join(inner, "a", "left_anti")))
+    found = materialize(inner.unionByName(roots.join(inner, "a", "left_anti")))
+    release(given, last)
+    return found

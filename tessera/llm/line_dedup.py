@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, constants, join_salted, materialize, mix, pack, partitions, route, runs, split_by_part, unpack
+from .common import BASE, BASE_INVERSE, constants, join_by_id, join_salted, materialize, mix, pack, partitions, release, route, runs, split_by_part, unpack
 
 CELL = "kind int, part long, cell binary"
 ENTRY, PLACE, GONE, FIRST, PAIR, OPEN = range(6)
@@ -557,17 +557,22 @@ def gone_lines(
         .mapInArrow(_near(edits, least), "later struct<doc_id:long,code:long,line:long>")
     )
     near = materialize(judged.select("later.*").distinct())
+    release(placed, texts)
     gone = gone.unionByName(near.select("doc_id", "code"))
     opened = _rows(cells, OPEN, OPENED)
     places = materialize(opened.select("line").distinct().join(first, "line"))
+    lines = texts = None
     if not places.isEmpty():
         standing = near.withColumn("standing", F.lit(False))
-        lines = (
-            places.join(texts_of(places.select("doc_id", "code")), ["doc_id", "code"]).join(standing, ["line", "doc_id", "code"], "left")
+        texts = texts_of(places.select("doc_id", "code"))
+        lines = materialize(
+            places.join(texts, ["doc_id", "code"]).join(standing, ["line", "doc_id", "code"], "left")
             .withColumn("standing", F.coalesce("standing", F.lit(True))).withColumn("size", F.length("text").cast("long"))
         )
-        gone = gone.unionByName(_judge_open(opened, materialize(lines), edits, least, *job_chars))
-    return gone.distinct()
+        gone = gone.unionByName(_judge_open(opened, lines, edits, least, *job_chars))
+    found = materialize(gone.distinct())
+    release(cells, near, places, texts, lines)
+    return found
 
 
 def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, later_chars: int, other_chars: int) -> DataFrame:
@@ -618,7 +623,7 @@ def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **opti
     none = F.array().cast("array<int>")
     own = F.transform(F.split(docs["text"].cast("string"), "\n"), lambda line, i: line_code(i, line))
     numbers = F.sort_array(F.transform(F.array_intersect("lines_gone", own), lambda c: F.shiftright(c, 32).cast("int")))
-    return docs.join(lists, "doc_id", "left").select(
+    return join_by_id(docs, lists, "left").select(
         *[docs[c] for c in docs.columns], F.coalesce(F.when(F.col("lines_gone").isNotNull(), numbers), none).alias("lines_gone")
     )
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, join_salted, materialize, mix, pack, partitions, route, runs, split_by_part, unpack
+from .common import constants, join_salted, materialize, mix, pack, partitions, release, route, runs, split_by_part, unpack
 from .components import connected_components
 
 CELL = "kind int, part long, cell binary"
@@ -569,6 +569,11 @@ def ngram_jaccard(
         """Links (a, b) between the sides of the jobs (job, doc_id, side)."""
         return jobs.join(sets, "doc_id").groupBy("job").applyInArrow(_verify(percent), "a long, b long")
 
+    def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+        found = connected_components(links if label is None else links.unionByName(label), small)
+        release(label, links)
+        return found
+
     def job(i, j, *sizes):
         return F.struct("head", i.alias("i"), j.alias("j"), *sizes).alias("job")
 
@@ -598,7 +603,7 @@ def ngram_jaccard(
         near = counted.select(job(_deal("doc_id", 0, F.col("c"), block), none), "doc_id", "head")
         heads_of = near.select("job", F.col("head").alias("doc_id")).distinct().withColumn("side", F.lit(0))
         links = materialize(verified(near.select("job", "doc_id", F.lit(1).alias("side")).unionByName(heads_of)))
-        label = connected_components(links if label is None else links.unionByName(label), small)
+        label = merged(label, links)
 
         members = (
             star.select("head", "head_n", "doc_id", "n", "own")
@@ -627,12 +632,13 @@ def ngram_jaccard(
             .unionByName(pairs.join(right, ["head", "j", "t"]).select("job", "doc_id", F.lit(1).alias("side")))
         )
         links = materialize(verified(jobs))
-        label = connected_components(links.unionByName(label), small)
+        label = merged(label, links)
 
         # the larger groups get longer keys, as long as that leaves half of what is open
         many = rows.where(~in_one & ~part & (F.col("doc_id") != F.col("head")))
         open_rows, before = many.where("out").count(), open_rows
         if not open_rows:
+            release(star, rows)
             break
         if before is not None and 2 * open_rows > before:
             most = 1 << 62
@@ -644,7 +650,10 @@ def ngram_jaccard(
             many.unionByName(heads_of).join(sets, "doc_id").groupBy("job").applyInArrow(_residual(percent, parts), CELL)
             .groupBy("part").applyInArrow(_shared(parts), CELL).groupBy("part").applyInArrow(_extend, MEMBER)
         )
+        release(star, rows)
         star = materialize(_star(longer.select(F.explode("keys").alias("key"), "doc_id", "n", "own", "out")))
+        release(longer)
+    release(sets)
     named = classes.select("h1", "h2", "rep").join(
         label.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left"
     ).select("h1", "h2", F.coalesce("component", "rep").alias("component"))

@@ -19,7 +19,7 @@ from tessera.llm import line_dedup as ld
 from tessera.llm import ngram_jaccard as nj
 from tessera.llm import warc as w
 from tessera.llm.common import pack, unpack
-from tessera.llm.decontaminate import decontaminate, proximity
+from tessera.llm.decontaminate import build_index, decontaminate, proximity
 from tessera.llm.language_id import language_id, train
 from tessera.llm.licences import LicenceScanner, SuffixAutomaton, scan_licences
 from tessera.llm.mixing import emit, mix_sources
@@ -497,10 +497,29 @@ def test_decontamination(spark):
             assert r["items_sha256"] == sha(",".join(sorted(named)))
     assert decontaminate(docs.limit(0), benchmark).count() == 0
     assert decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
-    near = proximity(docs, ["short", "item"], within=2).collect()
+    vocabulary = spark.createDataFrame([("short",), ("item",)], "term string")
+    near = proximity(build_index(docs.where("doc_id is not null"), vocabulary), ["short", "item"], within=2).collect()
     assert sorted((r["doc_id"], r["start"], r["stop"]) for r in near) == [(2, 1, 2), (2, 4, 5)]
 
 
+@pytest.mark.parametrize("small", [0, 10])
+def test_proximity_agrees_with_brute_force(spark, small):
+    rng, terms, within = random.Random(small), ("a", "b", "c"), 5
+    rows = [(d, " ".join(rng.choice(("a", "b", "c", "d", "e", "f", "g")) for _ in range(900))) for d in range(3)] + [(9, None), (10, "a b"), (None, "c a b")]
+    docs = docs_of(spark, [(d, t, "en", "s") for d, t in rows])
+    index = build_index(docs, spark.createDataFrame([(t,) for t in terms], "term string"), small)
+    found = {(r["doc_id"], r["start"], r["stop"]) for r in proximity(index, list(terms), within).collect()}
+    wanted = set()
+    for d, t in rows:
+        w, best = (t or "").split(), {}
+        for stop in range(len(w)):
+            last = [max((i for i in range(stop + 1) if w[i] == x), default=None) for x in terms]
+            if w[stop] in terms and None not in last and stop - min(last) < within:
+                best.setdefault(min(last), stop)
+        wanted |= {(d, a, b) for a, b in best.items()}
+    assert found == wanted
+
+
 # --- chat formatting ------------------------------------------------------------------------------------------
 
 
