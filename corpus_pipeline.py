@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
-from tessera.llm.decontaminate import decontaminate
+from tessera.llm.common import join_by_id, materialize, release
+from tessera.llm.decontaminate import clean
 from tessera.llm.language_id import UNKNOWN, fit, predict
 from tessera.llm.line_dedup import dedup_lines, without_lines
 from tessera.llm.mixing import emit, mix_sources
@@ -28,13 +28,19 @@ LEAST_LINE = 32
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that the network knows: those without a letter, or scored too low, go."""
+    """Documents whose text is in a language that the network knows: those without a letter, or scored too low, go.
+
+    Null and empty texts have no letter. Repeated rows are judged alike, a very long text by all its windows.
+    """
     found = predict(docs, fit(docs), keep=COLUMNS, carry="text")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus, equal or nearly; those left with short lines only go."""
+    """Documents without the lines that stand earlier in the corpus, equal or nearly; those left with short lines only go.
+
+    Documents that lose no line stay as they are, null and empty texts and rows without doc_id among them.
+    """
     kept = dedup_lines(docs.select(*COLUMNS), least=LEAST_LINE)
     text = without_lines(F.col("text"), F.col("lines_gone"))
     return (
@@ -44,24 +50,26 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
-    groups = materialize(ngram_jaccard(docs.select("doc_id", "text")))
+    """One document, the smallest doc_id, of each group of near duplicates.
+
+    Texts without a word are in no group, nor are rows without doc_id. Rows that repeat a doc_id stay or go together.
+    """
+    groups = ngram_jaccard(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return join_by_id(docs.select(*COLUMNS), gone, "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item. Rows without doc_id are told apart by their text."""
-    by_text = F.concat(F.lit("t"), F.sha2("text", 256))
-    docs = docs.withColumn("key", F.when(F.col("doc_id").isNull(), by_text).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
+    """Documents that hold no window of a benchmark item. Rows without doc_id are judged one by one.
+
+    Rows that repeat a doc_id go together if any of them holds a window. Null and empty texts hold none.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialize(decontaminate(docs.select(F.col("key").alias("doc_id"), "text"), benchmark))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("key"))
-    return docs.join(leaks, "key", "left_anti").select(*COLUMNS)
+    return clean(docs.select(*COLUMNS), benchmark).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, numbered by copy."""
+    """The documents as often as the mix takes them, numbered by copy; those without a word are not taken."""
     return emit(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS, "copy")
 
 
@@ -78,7 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
