@@ -6,6 +6,10 @@ fixed order, each takes its expected copies on a line, and the line is cut at
 ``offset + 1, 2, 3 ...``: a document is emitted once for each cut inside its
 piece. Within a source the order goes by size class and size, so that the
 words taken follow the target about as closely as the documents do.
+
+A source is one row in the windows that share out the targets and at most
+about 100 rows and one for each ``cell_rows`` documents in those that add up its
+cells; documents are only ever numbered inside a cell.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_salted, materialize
+
 GAPS = r"[\x20\x09-\x0D]+"
 GAP_CHARACTERS = " \t\n\x0b\x0c\r"
 
@@ -64,58 +70,69 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float, sh
     )
 
 
+def _named(source: Column) -> Column:
+    """A source as a string that is never null."""
+    return F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))
+
+
 def mix_sources(
     documents: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3,
-    seed: str = "mix", buckets: int = 64,
+    seed: str = "mix", cell_rows: int = 4096, text: bool = True, small: int = 200_000,
 ) -> DataFrame:
     """``documents`` with size, source_size, target, copies and taken (copies * size).
 
     Every input row is kept and copies may be 0: whoever wants the mix itself
     repeats a row ``copies`` times (see ``emit``). ``documents`` has doc_id,
     text and source; other columns pass through, but a column named like one
-    of the new ones is replaced. size counts ``[^\\x20\\x09-\\x0D]+`` in the
-    text, null text 0. A null source is a source of its own, last in order. A
-    source without words has target 0 and takes nothing. No row has more than
-    ``most`` copies. The offset of a source comes from ``seed`` and its name,
-    and the order from doc_id and text, so reruns agree; rows that repeat all
-    of these are interchangeable. An empty table gives an empty result.
-
-    A source is dealt into (size class, doc_id mod ``buckets``) cells; cells
-    are counted first and then numbered on their own, so that no task holds a
-    whole source and nothing but counts crosses cells.
+    of the new ones is replaced, and without ``text`` that column is left out.
+    size counts ``[^\\x20\\x09-\\x0D]+`` in the whole text, null text 0. A null
+    source is a source of its own, last in order. A source without words has
+    target 0 and takes nothing. No row has more than ``most`` copies. The offset
+    of a source comes from ``seed`` and its name, and the order from doc_id and
+    text, so reruns agree; rows that repeat all of these are interchangeable. An
+    empty table gives an empty result.
+
+    One pass over the texts writes every row with its size. A source is dealt
+    into cells, by size class and, in a class of more than ``cell_rows`` rows,
+    by a hash of doc_id (of the text, where there is none); cells are counted
+    first and then numbered on their own, so that no task holds a whole source
+    and nothing but counts crosses cells. ``small`` bounds the counts of classes
+    that go to all tasks.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     docs = documents.drop(*[c for c in documents.columns if c.lower() in made])
-    docs = docs.withColumn("size", word_count(F.col("text")))
-    cell = ["__source", "__class", "__bucket"]
-    keyed = (
-        docs.withColumn("__source", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
-        .withColumn("__class", size_class(F.col("size")))
-        .withColumn("__bucket", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(buckets)).cast("long"))
+    kept = [c for c in docs.columns if text or c.lower() != "text"]
+    spelled = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*kept).alias("doc"), _named(F.col("source").cast("string")).alias("home"), word_count(F.col("text").cast("string")).alias("size"),
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), F.conv(F.substring(F.md5(spelled.cast("binary")), 1, 8), 16, 10).cast("long").alias("lot"),
     )
+    rows = materialize(rows.withColumn("kind", F.struct("home", size_class(F.col("size")).alias("class"))))
+    kinds = rows.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("buckets"))
+    keyed = rows.join(F.broadcast(kinds), "kind") if kinds.count() <= small else join_salted(rows, kinds, "kind", "lot")
+    keyed = keyed.select("doc", "home", "size", "id", "tie", F.col("kind.class").alias("class"), (F.col("lot") % F.col("buckets")).alias("bucket"))
+    cell = ["home", "class", "bucket"]
     counts = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    before = Window.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sizes = counts.groupBy("__source").agg(F.sum("words").alias("source_size"))
-    sizes = sizes.withColumn("source", F.when(F.col("__source").startswith("0"), F.substring("__source", 2, 1 << 30)))
-    targets = source_targets(sizes.drop("__source"), weights, float(most))
-    targets = targets.withColumn("__source", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
+    before = Window.partitionBy("home").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    sizes = counts.groupBy("home").agg(F.sum("words").alias("source_size"))
+    sizes = sizes.select("source_size", F.when(F.col("home").startswith("0"), F.substring("home", 2, 1 << 30)).alias("source"))
+    targets = source_targets(sizes, weights, float(most)).withColumn("home", _named(F.col("source")))
     # an offset in 2^-20 steps keeps the sums below exact
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("__source")))
+    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("home")))
     offset = (F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20)))
     targets = targets.select(
-        "__source", "source_size", "target", offset.alias("__offset"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
+        "home", "source_size", "target", offset.alias("offset"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
-    cells = counts.join(targets, "__source").select(*cell, "__before", "source_size", "target", "__offset", "__rate")
-    own = Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rank = F.col("__before") + F.col("__rank")
-    cuts = F.floor(F.col("__offset") + rank * F.col("__rate")) - F.floor(F.col("__offset") + (rank - 1) * F.col("__rate"))
+    cells = counts.join(targets, "home").select(*cell, "before", "source_size", "target", "offset", "rate")
+    own = Window.partitionBy(*cell).orderBy("size", F.col("id").asc_nulls_last(), "tie")
+    rank = F.col("before") + F.col("rank")
+    cuts = F.floor(F.col("offset") + rank * F.col("rate")) - F.floor(F.col("offset") + (rank - 1) * F.col("rate"))
+    copies = F.least(cuts, F.lit(most)).cast("long")
     return (
-        keyed.withColumn("__rank", F.row_number().over(own)).join(cells, cell)
-        .withColumn("copies", F.least(cuts, F.lit(most)).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop(*cell, "__before", "__offset", "__rate", "__rank")
+        keyed.withColumn("rank", F.row_number().over(own)).join(cells, cell)
+        .select("doc.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )
 
 

@@ -60,7 +60,7 @@ def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -39,40 +39,44 @@ WITH kinds(rank, kind, pattern, least) AS (VALUES
   (2, 'hex', '[0-9a-f]+', 24),
   (3, 'prefixed', '(?:gh[opsur]_|glpat-|xox[abprs]-|sk-|sk_live_|AIza)[A-Za-z0-9_-]{16,}', 1),
   (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 1),
-  (5, 'pem', '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----', 1),
+  (5, 'pem', '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D\\]*', 16),
   (6, 'bearer', '[Bb][Ee][Aa][Rr][Ee][Rr]\x20+[A-Za-z0-9+/_.=-]{20,}', 1)
 ), rows AS (
   SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents
 ), matches AS (
-  SELECT id, source, rank, kind, least, regexp_extract_all(text, pattern) AS m, regexp_split_to_array(text, pattern) AS p
+  SELECT id, doc_id, source, rank, kind, least, regexp_extract_all(text, pattern) AS m, regexp_split_to_array(text, pattern) AS p
   FROM rows, kinds WHERE regexp_matches(text, pattern)
 ), places AS (
-  SELECT id, source, rank, kind, least, unnest(m) AS m, unnest(list_transform(p[: len(m)], lambda x: length(x))) AS gap,
+  SELECT id, doc_id, source, rank, kind, least, unnest(m) AS m, unnest(list_transform(p[: len(m)], lambda x: length(x))) AS gap,
     generate_subscripts(m, 1) AS i
   FROM matches
 ), spans AS (
-  SELECT id, source, rank, kind, least, m, stop - length(m) AS start, stop
+  SELECT id, doc_id, source, rank, kind, least, m, stop - length(m) AS start, stop
   FROM (SELECT *, sum(gap + length(m)) OVER (PARTITION BY id, rank ORDER BY i) AS stop FROM places)
 ), vals AS (
-  SELECT *, CASE WHEN rank = 0 THEN regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE m END AS v
+  SELECT *, CASE WHEN rank = 0 THEN regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)
+    WHEN rank = 6 THEN regexp_extract(m, '^.{6}\x20+(.*)$', 1)
+    WHEN rank = 5 THEN regexp_replace(m, '^.*PRIVATE KEY-----|[\x0A\x0D\\]', '', 'g') ELSE m END AS v
   FROM spans
 ), kept AS (
   SELECT * FROM vals WHERE length(v) >= least
 ), owners AS (
   SELECT v, count(*) AS n FROM (SELECT DISTINCT v, source FROM kept) GROUP BY v
+), repositories AS (
+  SELECT v, count(*) AS held FROM (SELECT DISTINCT v, doc_id FROM kept) GROUP BY v
 ), judged AS (
-  SELECT id, rank, kind, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, n < 3 AS live
-  FROM kept JOIN owners USING (v)
+  SELECT id, rank, kind, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, n < 3 AND held < 50 AS live, n, held
+  FROM kept JOIN owners USING (v) JOIN repositories USING (v)
 ), found AS (
   SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
     string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3 OR live) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(n) AS most_owners, max(held) AS most_repositories
   FROM judged GROUP BY id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-  coalesce(n_copied, 0) AS n_copied
+  coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM rows LEFT JOIN found USING (id)
 """
 
@@ -105,7 +109,11 @@ FROM scored QUALIFY rank <= 20
 
 MIX_SOURCES = r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT *, count(*) OVER (PARTITION BY source, class) AS n FROM (
+    SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class FROM (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS lot
+      FROM documents))
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
 ), weighed AS (
@@ -127,8 +135,7 @@ WITH docs AS (
   FROM targets
 ), ranked AS (
   SELECT docs.doc_id, docs.size, rates.source_size, rates.target, rates.rate, rates.start, row_number() OVER (
-      PARTITION BY docs.source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)),
-      ((coalesce(doc_id, 0) % 64) + 64) % 64, size, doc_id NULLS LAST) AS rank
+      PARTITION BY docs.source ORDER BY class, lot % CAST(ceil(n / 4096.0) AS BIGINT), size, doc_id NULLS LAST) AS rank
   FROM docs JOIN rates ON docs.source IS NOT DISTINCT FROM rates.source
 )
 SELECT doc_id, size, source_size, target,

@@ -209,6 +209,24 @@ def test_secrets(spark):
     assert scan_secrets(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_are_known_by_their_value(spark):
+    """Keys by their body, bearer tokens without the keyword; a value of one owner in very many repositories is copied."""
+    key = lambda c: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join([c * 64] * 3) + "\n-----END"
+    rows = [(i, key("ABC"[i]), "en", f"o{i}") for i in range(3)] + [(10 + i, key("Z"), "en", f"o{i}") for i in range(3)]
+    rows += [(20 + i, f"{'Bb'[i % 2]}earer {' ' * i}{'t0K' * 8}", "en", f"o{i}") for i in range(3)]
+    rows += [(100 + i, "ghp_" + "q1W2" * 9, "en", "one") for i in range(60)] + [(200, "-----BEGIN PRIVATE KEY-----\nshort", "en", "s")]
+    rows += [(300, "token=abcdef " * 3000, "en", "many"), (301, "x" * 200_000 + " secret=" + "y" * 200_000, "en", "long")]
+    by = {r["doc_id"]: r for r in scan_secrets(docs_of(spark, rows)).collect()}
+    assert all(by[i]["spans"].startswith("pem:0:") and by[i]["n_live"] == 1 for i in range(3))
+    assert all(by[10 + i]["spans"] == "" and by[10 + i]["n_copied"] == 1 and by[10 + i]["most_owners"] == 3 for i in range(3))
+    assert all(by[20 + i]["spans"] == "" and by[20 + i]["most_repositories"] == 3 for i in range(3))
+    assert all((by[100 + i]["spans"], by[100 + i]["most_owners"], by[100 + i]["most_repositories"]) == ("", 1, 60) for i in range(60))
+    assert by[200]["spans"] == "" and (by[300]["n_assign"], by[300]["n_live"]) == (3000, 3000)
+    spans = by[300]["spans"].split(",")
+    assert spans[0] == "assign:0:12" and spans[-1] == f"assign:{13 * 2999}:{13 * 2999 + 12}"
+    assert by[301]["spans"] == "assign:200001:400008"
+
+
 # --- WARC --------------------------------------------------------------------------------
 
 
