@@ -136,44 +136,49 @@ def _near_group(flat: np.ndarray, sigma: int, k: int, a: np.ndarray, m: np.ndarr
     modulo 64; places come and go as the band moves.
     """
 
-    def cells(start: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
-        """For each place and pair, where the pair's mask for its character is; behind the end, that of none."""
+    def characters(start: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+        """The character of each place and pair; behind the end, one that no text has."""
         place = np.arange(rows)[:, None]
-        c = flat[np.minimum(start + place, len(flat) - 1)]
-        return np.where(place < size, c, sigma - 1) + np.arange(len(start)) * sigma
+        return np.where(place < size, flat[np.minimum(start + place, len(flat) - 1)], sigma - 1)
 
-    count, width = len(a), 2 * k + 1
-    own, other = cells(a, m, int(n.max()) + k), cells(b, n, int(n.max()))
-    table = np.zeros(count * sigma, np.uint64)
+    width = 2 * k + 1
     one, ones, lowest = np.uint64(1), np.uint64((1 << width) - 1), np.uint64(width - 1)
-    vp, vn = np.full(count, int(ones) & ~((1 << k) - 1), np.uint64), np.zeros(count, np.uint64)
-    score, bound, live = np.full(count, k), 2 * k + n - m, count
-    blank = np.arange(1, count + 1) * sigma - 1
+    same, pair = np.zeros(len(a), bool), np.arange(len(a))
+    own, other = characters(a, m, int(n.max()) + k), characters(b, n, int(n.max()))
+    vp, vn = np.full(len(a), int(ones) & ~((1 << k) - 1), np.uint64), np.zeros(len(a), np.uint64)
+    score, bound, base = np.full(len(a), k), 2 * k + n - m, np.arange(len(a)) * sigma
+    table = np.zeros(len(a) * sigma, np.uint64)
     for i in range(k):
-        table[own[i]] |= one << np.uint64(i)
+        table[own[i] + base] |= one << np.uint64(i)
     for j in range(int(n.max())):
-        live = int(np.searchsorted(-n, -j)) if j >= n[live - 1] else live
-        table[own[j + k]] |= one << np.uint64((j + k) & 63)
+        if j == int(n[-1]) or (j % 16 == 0 and j and (score > bound).mean() > 0.2):  # what has ended or lost leaves
+            ended = n <= j
+            same[pair[ended]] = score[ended] <= k
+            rest = np.flatnonzero(~ended & (score <= bound))
+            if not len(rest):
+                return same
+            table = table.reshape(-1, sigma)[rest].ravel()
+            own, other, base = own[:, rest], other[:, rest], base[: len(rest)]
+            pair, m, n, vp, vn, score, bound = (x[rest] for x in (pair, m, n, vp, vn, score, bound))
+        table[own[j + k] + base] |= one << np.uint64((j + k) & 63)
         if j > k:
-            table[own[j - k - 1]] &= ~(one << np.uint64((j - k - 1) & 63))
-        table[blank] = 0
+            table[own[j - k - 1] + base] &= ~(one << np.uint64((j - k - 1) & 63))
+        table[sigma - 1 :: sigma] = 0
         turn = (j - k) & 63
-        x = table[other[j, :live]]
+        x = table[other[j] + base]
         x = (x >> np.uint64(turn) | x << np.uint64(64 - turn) if turn else x) & ones
-        p, q = vp[:live], vn[:live]
-        d0 = ((((x & p) + p) ^ p) | x | q) & ones
-        hp, hn = q | (~(d0 | p) & ones), d0 & p
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & ones
+        hp, hn = vn | (~(d0 | vp) & ones), d0 & vp
         half = d0 >> one
-        vp[:live], vn[:live] = hn | (~(half | hp) & ones), half & hp
-        down = j + k < m[:live]
-        score[:live] += down & ((d0 >> lowest & one) == 0)
+        vp, vn = hn | (~(half | hp) & ones), half & hp
+        down = j + k < m
+        score = score + (down & ((d0 >> lowest & one) == 0))
         if not down.all():  # along the last row
-            low = (k + m[:live] - 1 - j).clip(0, 63).astype(np.uint64)
+            low = (k + m - 1 - j).clip(0, 63).astype(np.uint64)
             along = (hp >> low & one).astype(np.int64) - (hn >> low & one).astype(np.int64)
-            score[:live] += np.where(down, 0, along)
-        if j % 32 == 31 and (score[:live] > bound[:live]).all():
-            break
-    return score <= k
+            score += np.where(down, 0, along)
+    same[pair] = score <= k
+    return same
 
 
 # --- entries ----------------------------------------------------------------------
@@ -367,7 +372,7 @@ def _apart(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def _candidates(
-    edits: int, key: np.ndarray, line: np.ndarray, histogram: np.ndarray, place: np.ndarray, full: int, pivots: int = 8,
+    edits: int, key: np.ndarray, line: np.ndarray, histogram: np.ndarray, place: np.ndarray, full: int, pivots: int = 4,
 ) -> tuple[np.ndarray, list[np.ndarray]]:
     """Pairs of lines that share a key as segment and probe and whose histograms are near, each once; and what is open.
 
@@ -517,7 +522,7 @@ def line_code(number, line):
 
 
 def gone_lines(
-    documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000, full: int = 32,
+    documents: DataFrame, *, edits: int = 2, least: int = 32, small: int = 200_000, full: int = 8,
     job_chars: tuple[int, int] = (1 << 20, 1 << 23),
 ) -> DataFrame:
     """doc_id, code (see ``line_code``) of every line that goes; see ``dedup_lines``."""
