@@ -22,7 +22,7 @@ Hot groups. Equal sets collapse to one representative before the join. A key
 yields candidates only against its head, the document with the smallest share
 of tokens of its own, in blocks. After these links are merged, just the
 documents outside the component of their head are open. If they are at most a
-block, they are compared with the rest of their group. If they are more, the
+few blocks, they are compared with the rest of their group. If they are more, the
 combination that they share is extended by one token: a document that misses
 the head can link only with those that share enough tokens outside the head
 with it (see ``_residual``), so each of the rarest of these tokens, together
@@ -32,10 +32,7 @@ their heads until no group is open.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, join_salted, materialize, mix, pack, partitions, release, route, runs, split_by_part, unpack
+from .common import (
+    WHITE_SPACE,
+    WordHasher,
+    constants,
+    join_salted,
+    materialize,
+    mix,
+    pack,
+    partitions,
+    release,
+    route,
+    runs,
+    split_by_part,
+    text_windows,
+    unpack,
+)
 from .components import connected_components
 
 CELL = "kind int, part long, cell binary"
@@ -51,47 +63,21 @@ SET = "doc_id long, n long, h1 long, h2 long, tokens binary"
 #: A member's side in a job: left 0, right 1, or both.
 BOTH = 2
 SIGNATURE = "doc_id long, n long, h1 long, h2 long, silent long, keys array<long>"
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- sets -------------------------------------------------------------------
 
 
-class _WordHashes(dict):
-    """The 64-bit BLAKE2b hashes of words, kept for as long as there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
 class ShingleSets:
-    """The sorted distinct shingle hashes of a text, A-Z lower-cased.
+    """The sorted distinct shingle hashes of each text of a batch, A-Z lower-cased.
 
-    A word's hash is BLAKE2b, so no text can be made whose words collide by
-    their form; a shingle's hash mixes those of its words one after the other.
+    A shingle's hash mixes those of its words one after the other.
     """
 
-    def __init__(self, size: int, window: int = 1 << 20):
-        self.size, self.window = size, window
-        self.hashes = _WordHashes()
+    def __init__(self, size: int, window: int = 1 << 18):
+        self.size, self.words = size, WordHasher(WHITE_SPACE, window)
         self.step, self.whole = constants(1, 41)[0], constants(size, 43)
 
-    def words(self, text: bytes) -> np.ndarray:
-        """Hashes of the words of a text, taken in slices that end between words."""
-        out, at, get = [], 0, self.hashes.__getitem__
-        while at < len(text):
-            gap = SPACE.search(text, at + self.window) if at + self.window < len(text) else None
-            stop = gap.start() if gap else len(text)
-            found = text[at:stop].lower().split()  # bytes split at the same white space
-            out.append(np.fromiter(map(get, found), np.uint64, len(found)))
-            at = stop
-        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
-
     def _chained(self, parts: list[np.ndarray]) -> np.ndarray:
         s = parts[0].copy()
         for part in parts[1:]:
@@ -100,17 +86,20 @@ class ShingleSets:
             s += part
         return mix(s)
 
-    def of(self, text: bytes) -> np.ndarray:
-        w, k = self.words(text), self.size
-        if len(w) >= k:
-            s = np.sort(self._chained([w[j : len(w) - k + 1 + j] for j in range(k)]))
-            return s[np.r_[True, s[1:] != s[:-1]]]
-        return self._chained([*w[:, None], self.whole[len(w) : len(w) + 1]]) if len(w) else w
-
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        for row, text in enumerate(texts):
-            value = text.as_py()
-            yield row, self.of(value.encode() if value else b"")
+        k = self.size
+        for first, data, offsets in text_windows(texts):
+            hashes, bounds = self.words(data, offsets)
+            count = len(hashes) - k + 1
+            shingles = self._chained([hashes[j : j + count] for j in range(k)]) if count > 0 else hashes[:0]
+            for row, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if hi - lo >= k:
+                    s = np.sort(shingles[lo : hi - k + 1])
+                    yield first + row, s[np.r_[True, s[1:] != s[:-1]]]
+                elif hi > lo:
+                    yield first + row, self._chained([*hashes[lo:hi, None], self.whole[hi - lo : hi - lo + 1]])
+                else:
+                    yield first + row, hashes[:0]
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -545,7 +534,7 @@ def ngram_jaccard(
     broadcast (40 bytes each), beyond it they are joined by shuffle; ``frequent``
     and ``hot`` are the frequencies from which tokens are indexed in pairs and
     triples; ``block`` is the side of a verified block, and a group with more
-    open documents gets longer keys.
+    open documents than four blocks gets longer keys.
     """
     if percent <= 50:
         raise ValueError("percent must be over 50")
@@ -577,29 +566,30 @@ def ngram_jaccard(
     def job(i, j, *sizes):
         return F.struct("head", i.alias("i"), j.alias("j"), *sizes).alias("job")
 
-    def opened(members: DataFrame, label: DataFrame) -> DataFrame:
-        """The groups (head, head_n, doc_id, n, own) with documents that are out, that is outside the component of their head."""
-        groups = (
-            members.join(label.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left")
-            .withColumn("component", F.coalesce("component", "doc_id"))
-        )
-        tops = label.select(F.col("a").alias("head"), F.col("b").alias("top"))
-        groups = join_salted(groups, tops, "head", "doc_id", "left").withColumn("out", F.col("component") != F.coalesce("top", "head"))
-        facts = groups.groupBy("head").agg(
+    def told(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        """``rows`` with the facts (a stored table) of their key, which may hold a third of them."""
+        if facts.count() <= small:
+            return rows.join(F.broadcast(facts), key, how)
+        return join_salted(rows, facts, key, "doc_id", how)
+
+    def opened(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The groups (head, head_n, doc_id, n, own) with documents that are out, that is outside the component of their head, and facts of them."""
+        groups = told(members, label.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left")
+        groups = told(groups, label.select(F.col("a").alias("head"), F.col("b").alias("top")), "head", "left")
+        groups = groups.withColumn("out", F.coalesce("component", "doc_id") != F.coalesce("top", "head"))
+        facts = materialize(groups.groupBy("head").agg(
             F.sum(F.col("out").cast("long")).alias("outside"), F.count(F.lit(1)).alias("c"), F.min("n").alias("least"),
             F.count_if(F.col("n") < F.col("head_n")).alias("below"),
-        ).where("outside > 0 and c > 2")
-        return materialize(
-            join_salted(groups, facts, "head", "doc_id").withColumn("sizes", F.floor(F.log2(F.col("n").cast("double")) * 4).cast("long"))
-        )
+        ).where("outside > 0 and c > 2"))
+        return told(groups, facts, "head"), facts
 
     none, whole = F.lit(-1).cast("long"), F.lit(-1).cast("long")
-    reach = int(4 * math.log2(100 / percent)) + 1  # steps of sizes that linked sets may lie apart
-    label, open_rows, most = None, None, block
+    label, open_rows, most = None, None, 4 * block
     while True:
         # every candidate against the head of its key
         sized = star.where(f"least(n, head_n) * 100 >= {percent} * greatest(n, head_n)")
-        counted = join_salted(sized, sized.groupBy("head").agg(F.count(F.lit(1)).alias("c")), "head", "doc_id")
+        counts = materialize(sized.groupBy("head").agg(F.count(F.lit(1)).alias("c")))
+        counted = told(sized, counts, "head")
         near = counted.select(job(_deal("doc_id", 0, F.col("c"), block), none), "doc_id", "head")
         heads_of = near.select("job", F.col("head").alias("doc_id")).distinct().withColumn("side", F.lit(0))
         links = materialize(verified(near.select("job", "doc_id", F.lit(1).alias("side")).unionByName(heads_of)))
@@ -609,27 +599,20 @@ def ngram_jaccard(
             star.select("head", "head_n", "doc_id", "n", "own")
             .unionByName(star.selectExpr("head", "head_n", "head AS doc_id", "head_n AS n", "0L AS own").distinct())
         )
-        rows = opened(members, label)
-
-        # a small group is one job that gets each member once, without those of sizes that none outside can link with
+        rows, facts = opened(members, label)
+        rows = materialize(rows)
+        # a small group is one job that gets each member once
         in_one = F.col("c") <= block
-        wanted = rows.where(in_one & F.col("out")).groupBy("head").agg(F.collect_set("sizes").alias("outer"))
-        near_size = F.exists("outer", lambda s: F.abs(s - F.col("sizes")) <= reach)
-        jobs = rows.where(in_one).join(wanted, "head").where(near_size).select(
-            job(whole, whole, whole.alias("s"), whole.alias("t")), "doc_id", F.when(F.col("out"), BOTH).otherwise(1).alias("side")
-        )
-        # in a larger one those that are out, block by block, meet the others, or only those that are smaller than the
-        # head; blocks of sizes that allow no link don't meet
+        jobs = rows.where(in_one).select(job(whole, whole), "doc_id", F.when(F.col("out"), BOTH).otherwise(1).alias("side"))
+        # in a larger one those that are out, block by block, meet the others, or only those that are smaller than the head
         part = F.col("outside") <= most
-        left = rows.where(~in_one & F.col("out")).select("head", _deal("doc_id", 2, F.col("outside"), block).alias("i"), F.col("sizes").alias("s"), "doc_id")
-        right = rows.where(~in_one & (part | (F.col("n") < F.col("head_n")))).select(
-            "head", _deal("doc_id", 1, F.when(part, F.col("c")).otherwise(F.col("below")), block).alias("j"), F.col("sizes").alias("t"), "doc_id"
-        )
-        pairs = left.select("head", "i", "s").distinct().join(right.select("head", "j", "t").distinct(), "head").where(F.abs(F.col("s") - F.col("t")) <= reach)
-        pairs = pairs.select(job(F.col("i"), F.col("j"), "s", "t"), "head", "i", "j", "s", "t")
+        blocks = rows.where(~in_one).withColumn("met", F.when(part, F.col("c")).otherwise(F.col("below"))).where("met > 0")
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / block) - 1))
+        left = blocks.where("out").withColumn("i", _deal("doc_id", 2, F.col("outside"), block)).withColumn("j", each(F.col("met")))
+        right = blocks.where(part | (F.col("n") < F.col("head_n"))).withColumn("j", _deal("doc_id", 1, F.col("met"), block)).withColumn("i", each(F.col("outside")))
         jobs = (
-            jobs.unionByName(pairs.join(left, ["head", "i", "s"]).select("job", "doc_id", F.lit(0).alias("side")))
-            .unionByName(pairs.join(right, ["head", "j", "t"]).select("job", "doc_id", F.lit(1).alias("side")))
+            jobs.unionByName(left.select(job(F.col("i"), F.col("j")), "doc_id", F.lit(0).alias("side")))
+            .unionByName(right.select(job(F.col("i"), F.col("j")), "doc_id", F.lit(1).alias("side")))
         )
         links = materialize(verified(jobs))
         label = merged(label, links)
@@ -638,7 +621,7 @@ def ngram_jaccard(
         many = rows.where(~in_one & ~part & (F.col("doc_id") != F.col("head")))
         open_rows, before = many.where("out").count(), open_rows
         if not open_rows:
-            release(star, rows)
+            release(star, rows, facts, counts)
             break
         if before is not None and 2 * open_rows > before:
             most = 1 << 62
@@ -650,7 +633,7 @@ def ngram_jaccard(
             many.unionByName(heads_of).join(sets, "doc_id").groupBy("job").applyInArrow(_residual(percent, parts), CELL)
             .groupBy("part").applyInArrow(_shared(parts), CELL).groupBy("part").applyInArrow(_extend, MEMBER)
         )
-        release(star, rows)
+        release(star, rows, facts, counts)
         star = materialize(_star(longer.select(F.explode("keys").alias("key"), "doc_id", "n", "own", "out")))
         release(longer)
     release(sets)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,9 +143,10 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
 
 
 def test_very_long_text_is_hashed_whole(spark):
-    sets, text = nj.ShingleSets(5), " ".join(prose(random.Random(4), 60_000, 10**6)).encode()
-    assert np.array_equal(nj.ShingleSets(5, window=64).of(text), sets.of(text)) and len(sets.of(text)) > 59_000
-    long = text.decode()
+    texts = pa.array([" ".join(prose(random.Random(4), 60_000, 10**6)), "a\0 a b", "x" * 900, ""])
+    whole, cut = ([s for _, s in nj.ShingleSets(5, window).__call__(texts)] for window in (1 << 18, 64))
+    assert all(map(np.array_equal, whole, cut)) and len(whole[0]) > 59_000
+    long = texts[0].as_py()
     found = nj.ngram_jaccard(docs_of(spark, [(1, long, "en", "s"), (2, long + " end", "en", "s"), (3, "end " * 9, "en", "s")])).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
 
