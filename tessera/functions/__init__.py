@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer division towards zero that keeps integers; null for a null or zero divisor."""
-    return F.when(b != 0, F.call_function("try_divide", a - a % F.when(b != 0, b), b)).cast("long")
+    return F.call_function("div", a.cast("long"), F.when(b != 0, b.cast("long")))
 
 
 def concat_or_empty(*parts: Column) -> Column:
@@ -31,7 +31,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def lcm(a: Column, b: Column) -> Column:
     """Least common multiple of two integers; 0 if either is 0."""
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise((F.abs(a * b) / gcd(a, b)).cast("long"))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.call_function("div", F.abs(a).cast("long"), F.when(a != 0, gcd(a, b))) * F.abs(b))
 
 
 def sort_key(column: str, descending: bool = False, nulls_first: bool | None = None) -> Column:

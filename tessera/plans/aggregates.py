@@ -43,3 +43,13 @@ def agg_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("user_id") < 50, "low").otherwise("high")
     events = table(spark, sf_dir, "events").withColumn("side", side)
     return events.groupBy("event_type").pivot("side", ["low", "high"]).count().na.fill(0)
+sql("agg_percentile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS p, round(median(l_quantity), 6) AS m FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, round(percentile(l_extendedprice, 0.9), 6) AS p, round(median(l_quantity), 6) AS m FROM lineitem GROUP BY l_returnflag")
+sql("agg_string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS s FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS s FROM nation GROUP BY n_regionkey")
+sql("agg_first_last", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS f, arg_max(o_orderkey, o_orderkey) AS l FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS f, max_by(o_orderkey, o_orderkey) AS l FROM orders GROUP BY o_custkey")
+sql("agg_covariance", "SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 2) AS c, round(regr_slope(l_extendedprice, l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag")
+sql("agg_approx_distinct", "SELECT true AS near", "SELECT abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders")
+sql("agg_decimal_global", "SELECT sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS s, CAST(count(*) AS BIGINT) AS n FROM customer", "SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS DECIMAL(38, 2)) AS s, count(*) AS n FROM customer")
+sql("agg_decimal_global_empty", "SELECT sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS s, avg(c_acctbal) AS a FROM customer WHERE c_custkey < 0", "SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS DECIMAL(38, 2)) AS s, avg(c_acctbal) AS a FROM customer WHERE c_custkey < 0")

@@ -43,8 +43,8 @@ sql("fn_hyperbolic_inverse", "SELECT p_partkey, round(asinh(p_size), 9) AS a, ro
 sql("fn_trunc_number", "SELECT c_custkey, trunc(c_acctbal) AS t, round(pi(), 9) AS pi, c_custkey = 0 AS is_zero, isnan(c_acctbal) AS nan FROM customer",
     "SELECT c_custkey, CAST(CAST(c_acctbal AS BIGINT) AS DOUBLE) AS t, round(pi(), 9) AS pi, c_custkey = 0 AS is_zero, isnan(c_acctbal) AS nan FROM customer")
 sql("fn_gcd_lcm", "SELECT n_nationkey, CAST(gcd(n_nationkey * 6, 84) AS BIGINT) AS g, CAST(lcm(n_nationkey + 1, 12) AS BIGINT) AS l FROM nation",
-    """SELECT n_nationkey, aggregate(sequence(1, 8), named_struct('a', CAST(n_nationkey * 6 AS BIGINT), 'b', 84L), (s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', s.a % s.b) END, s -> s.a) AS g,
-       CAST((n_nationkey + 1) * 12 / aggregate(sequence(1, 8), named_struct('a', CAST(n_nationkey + 1 AS BIGINT), 'b', 12L), (s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', s.a % s.b) END, s -> s.a) AS BIGINT) AS l FROM nation""")
+    """SELECT n_nationkey, aggregate(sequence(1, 92), named_struct('a', CAST(n_nationkey * 6 AS BIGINT), 'b', 84L), (s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', s.a % s.b) END, s -> s.a) AS g,
+       CAST((n_nationkey + 1) * 12 / aggregate(sequence(1, 92), named_struct('a', CAST(n_nationkey + 1 AS BIGINT), 'b', 12L), (s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', s.a % s.b) END, s -> s.a) AS BIGINT) AS l FROM nation""")
 sql("fn_factorial", "SELECT n_nationkey, CAST(factorial(n_regionkey + 3) AS BIGINT) AS f FROM nation")
 sql("fn_trim_pad", "SELECT n_nationkey, trim('  ' || n_name || ' ') AS t, ltrim('  ' || n_name) AS l, rtrim(n_name || '  ') AS r, lpad(n_name, 12, '*') AS lp, rpad(n_name, 5, '.') AS rp FROM nation")
 sql("fn_replace_reverse", "SELECT n_nationkey, replace(n_name, 'A', 'aa') AS r, reverse(n_name) AS v, repeat(left(n_name, 1), 3) AS p, translate(n_name, 'AEI', '431') AS t FROM nation")
@@ -59,3 +59,21 @@ sql("fn_overlay", "SELECT n_nationkey, substring(n_name, 1, 1) || '##' || substr
 sql("fn_epoch", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS e, to_timestamp(1700000000 + event_id) AT TIME ZONE 'UTC' AS t FROM events",
     "SELECT event_id, unix_timestamp(CAST(ts AS TIMESTAMP)) AS e, CAST(timestamp_seconds(1700000000 + event_id) AS TIMESTAMP_NTZ) AS t FROM events")
 sql("fn_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events")
+sql("fn_length_family", "SELECT n_nationkey, CAST(bit_length('é' || n_name) AS BIGINT) AS bits, CAST(length('é' || n_name) AS BIGINT) AS chars FROM nation",
+    "SELECT n_nationkey, CAST(bit_length('é' || n_name) AS BIGINT) AS bits, CAST(char_length('é' || n_name) AS BIGINT) AS chars FROM nation")
+sql("fn_btrim_initcap", "SELECT n_nationkey, trim('xx' || n_name || 'x', 'x') AS t, upper(left(n_name, 1)) || lower(substring(n_name, 2)) AS i FROM nation",
+    "SELECT n_nationkey, btrim('xx' || n_name || 'x', 'x') AS t, initcap(n_name) AS i FROM nation")
+sql("fn_substr_index", "SELECT p_partkey, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS s, CAST(coalesce(list_position(string_split('Brand#12,Brand#13', ','), p_brand), 0) AS INT) AS f FROM part",
+    "SELECT p_partkey, substring_index(p_name, ' ', 2) AS s, find_in_set(p_brand, 'Brand#12,Brand#13') AS f FROM part")
+sql("fn_encode", "SELECT n_nationkey, base64(encode(n_name)) AS b, decode(from_base64(base64(encode(n_name)))) AS back FROM nation",
+    "SELECT n_nationkey, base64(encode(n_name, 'UTF-8')) AS b, decode(unbase64(base64(encode(n_name, 'UTF-8'))), 'UTF-8') AS back FROM nation")
+sql("fn_log_base", "SELECT p_partkey, round(ln(p_size) / ln(3), 9) AS l FROM part", "SELECT p_partkey, round(log(3, p_size), 9) AS l FROM part")
+sql("fn_nan", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN -1.0::DOUBLE ELSE CAST(p_size AS DOUBLE) END AS v, p_size % 5 = 0 AS nan FROM part",
+    "SELECT p_partkey, nanvl(x, -1.0D) AS v, isnan(x) AS nan FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS x FROM part) t")
+sql("fn_to_date", "SELECT n_nationkey, CAST(strptime((2000 + n_nationkey) || '/03/05', '%Y/%m/%d') AS DATE) AS d, strptime((2000 + n_nationkey) || '-03-05 04:05:06', '%Y-%m-%d %H:%M:%S') AS t FROM nation",
+    "SELECT n_nationkey, to_date((2000 + n_nationkey) || '/03/05', 'yyyy/MM/dd') AS d, CAST(to_timestamp((2000 + n_nationkey) || '-03-05 04:05:06', 'yyyy-MM-dd HH:mm:ss') AS TIMESTAMP_NTZ) AS t FROM nation")
+sql("fn_to_char", "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS c FROM orders", "SELECT o_orderkey, date_format(o_orderdate, 'dd.MM.yyyy') AS c FROM orders")
+sql("fn_timestamp_scales", "SELECT event_id, make_timestamp((1700000000000 + event_id) * 1000) AS ms, make_timestamp(1700000000000000 + event_id) AS us, make_timestamp((1700000000 + event_id) * 1000000) AS s FROM events",
+    "SELECT event_id, CAST(timestamp_millis(1700000000000 + event_id) AS TIMESTAMP_NTZ) AS ms, CAST(timestamp_micros(1700000000000000 + event_id) AS TIMESTAMP_NTZ) AS us, CAST(from_unixtime(1700000000 + event_id) AS TIMESTAMP_NTZ) AS s FROM events")
+sql("fn_now", "SELECT r_regionkey, current_date > DATE '2020-01-01' AS later, now() = now() AS steady FROM region", "SELECT r_regionkey, current_date() > DATE '2020-01-01' AS later, now() = current_timestamp() AS steady FROM region")
+sql("fn_random", "SELECT n_nationkey, random() >= 0 AND random() < 1 AS inside, length(CAST(uuid() AS VARCHAR)) = 36 AS u FROM nation", "SELECT n_nationkey, rand() >= 0 AND rand() < 1 AS inside, length(uuid()) = 36 AS u FROM nation")

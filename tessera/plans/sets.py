@@ -11,7 +11,7 @@ sql("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey
 sql("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
 sql("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 sql("set_nulls", "SELECT nullif(n_regionkey, 1) AS k FROM nation INTERSECT SELECT nullif(r_regionkey, 1) FROM region")
-sql("set_widened", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT c_custkey FROM customer WHERE c_custkey < 20")
+sql("set_widened", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT c_custkey FROM customer")
 sql("cte_shared", "WITH t AS (SELECT c_nationkey, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY c_nationkey) SELECT a.c_nationkey AS x, b.c_nationkey AS y FROM t a JOIN t b ON a.s < b.s")
 sql("cte_chain", "WITH a AS (SELECT * FROM orders WHERE o_totalprice > 200000), b AS (SELECT o_custkey, count(*) AS n FROM a GROUP BY o_custkey) SELECT n, count(*) AS customers FROM b GROUP BY n")
 sql("sub_derived", "SELECT n, count(*) AS customers FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey) t GROUP BY n")

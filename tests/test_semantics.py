@@ -97,3 +97,9 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
         found.append(sorted(query(spark, sf_dir).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert found[0] == found[1]
+
+
+def test_large_integers_keep_every_digit(spark):
+    rows = spark.createDataFrame([(9007199254740993, 1, 3037000493, 3037000499)], "a long, b long, p long, q long")
+    found = rows.select(int_div(F.col("a"), F.col("b")).alias("d"), lcm(F.col("p"), F.col("q")).alias("l")).first()
+    assert found["d"] == 9007199254740993 and found["l"] == 3037000493 * 3037000499
