@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-TURN = re.compile(r"<turn role=((?:\\.|[^\\>])*)>\n((?:[^\\<]+|\\.|<(?!/?turn))*)</turn>\n", re.S)
+# possessive throughout: no two ways to read a text, so none is tried again when a turn is cut off
+TURN = re.compile(r"<turn role=((?:\\.|[^\\>])*+)>\n((?:[^\\<]++|\\.|<(?!/?turn))*+)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 

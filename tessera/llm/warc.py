@@ -141,39 +141,52 @@ def _parse(text: bytes) -> tuple[dict[str, str], int] | None:
 
 
 class _Window:
-    """Bytes of a file from a moving position on, read in blocks."""
+    """Bytes of a file from a moving position on, read in blocks; what lies behind goes now and then, not at each step."""
 
     def __init__(self, source, size: int, at: int, block: int):
         self.source, self.size, self.block = source, size, block
-        self.at, self.data = at, b""
+        self.at = self.base = at
+        self.data = bytearray()
+
+    @property
+    def end(self) -> int:
+        return self.base + len(self.data)
 
     def fill(self, upto: int) -> None:
         """Hold all bytes before ``upto``, as far as the file goes."""
-        while self.at + len(self.data) < min(upto, self.size):
-            self.source.seek(self.at + len(self.data))
-            more = self.source.read(min(self.block, self.size - self.at - len(self.data)))
+        while self.end < min(upto, self.size):
+            self.source.seek(self.end)
+            more = self.source.read(min(self.block, self.size - self.end))
             if not more:
                 break
             self.data += more
 
     def drop(self, before: int) -> None:
-        self.data = self.data[before - self.at :]
         self.at = before
+        if before - self.base >= self.block:
+            del self.data[: before - self.base]
+            self.base = before
+
+    def part(self, start: int, stop: int) -> bytes:
+        """Bytes by their distance from the position."""
+        lo = self.at - self.base
+        return bytes(self.data[lo + start : lo + stop])
 
 
 def scan_range(source, size: int, start: int, stop: int, block: int = 1 << 20) -> Iterator[Record]:
     """The records whose gzip member begins in [start, stop) of a seekable file."""
     window, at = _Window(source, size, start, block), start
     while at < stop:
-        window.fill(at + block)
-        found = window.data.find(MAGIC, at - window.at)
+        window.fill(at + len(MAGIC))
+        found = window.data.find(MAGIC, at - window.base)
         if found < 0:
-            at = max(at, window.at + len(window.data) - len(MAGIC) + 1)
+            at = max(at, window.end - len(MAGIC) + 1)
             if at + len(MAGIC) > size:
                 return
             window.drop(at)
+            window.fill(at + block)
             continue
-        at = window.at + found
+        at = window.base + found
         if at >= stop:
             return
         window.drop(at)
@@ -191,19 +204,20 @@ def scan_range(source, size: int, start: int, stop: int, block: int = 1 << 20) -
 
 
 def _inflate(window: _Window) -> tuple[bytes | None, int | None]:
-    """The member at the window's start and the offset of its end; (None, None) if there is none.
+    """The member at the window's position and the offset of its end; (None, None) if there is none.
 
     The first bytes decide: a member whose text can't begin a record is given
-    up early, unless it ends at once.
+    up early, unless it ends at once. Pieces grow, so that what is read beyond
+    the end of a member is no more than the member itself.
     """
-    engine, parts, used, first = zlib.decompressobj(31), [], 0, True
+    engine, parts, used, first, step = zlib.decompressobj(31), [], 0, True, 512
     while True:
-        if used >= len(window.data):
-            held = len(window.data)
-            window.fill(window.at + held + 1)
-            if len(window.data) == held:
+        if window.at + used >= window.end:
+            held = window.end
+            window.fill(held + 1)
+            if window.end == held:
                 return b"".join(parts), None
-        piece = window.data[used : used + 512] if first else window.data[used:]
+        piece = window.part(used, used + step)
         try:
             parts.append(engine.decompress(piece))
         except zlib.error:
@@ -215,6 +229,7 @@ def _inflate(window: _Window) -> tuple[bytes | None, int | None]:
         if not VERSION.startswith(got):
             return None, None
         first = first and len(got) < len(VERSION)
+        step = min(2 * step, window.block)
 
 
 def _open(path: str):

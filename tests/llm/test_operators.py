@@ -262,6 +262,17 @@ def test_archives_are_plain_gzip():
     assert b"abc" in engine.decompress(data) and engine.unused_data == w.EMPTY_MEMBER
 
 
+def test_small_and_large_records_read_alike():
+    """Every range of an archive of very many small, or a few large, records gives the records that begin in it."""
+    for size, count in ((40, 3000), (60_000, 40), (3_000_000, 1)):
+        rng = random.Random(size)
+        bodies = [rng.randbytes(size) for _ in range(count)]
+        data = b"".join(w._member(w.record_bytes(i, "u", b, "d", None), 1) + w.EMPTY_MEMBER for i, b in enumerate(bodies))
+        for step, block in ((len(data), 1 << 20), (len(data) // 3 + 1, 1 << 12)):
+            found = [r for at in range(0, len(data), step) for r in w.scan_range(io.BytesIO(data), len(data), at, min(at + step, len(data)), block)]
+            assert [r.block for r in found] == bodies
+
+
 # --- language ID ----------------------------------------------------------------------------
 
 
@@ -549,6 +560,16 @@ def test_template_is_reversible(turns):
     assert ct.parse("".join("".join(ct.render(*t)) for t in turns)) == turns
 
 
+def test_a_malformed_conversation_raises_at_once():
+    import time
+
+    began = time.perf_counter()
+    for text in ("<turn role=user>\n" + "a" * (1 << 20), "<turn role=" + "\\\\" * (1 << 19), "<turn role=user>\n" + "<a\\b" * (1 << 18) + "</turn"):
+        with pytest.raises(ValueError):
+            ct.parse(text)
+    assert time.perf_counter() - began < 3
+
+
 def test_chat_tree(spark):
     rng = random.Random(8)
     texts = ["hi", "", None, "a\\b </turn>", "<turn role=x>", "é" * 50, r"\### Assistant: </turn> ok"]
