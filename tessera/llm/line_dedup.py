@@ -564,7 +564,7 @@ def gone_lines(
     near = materialize(judged.select("later.*").distinct())
     release(placed, texts)
     gone = gone.unionByName(near.select("doc_id", "code"))
-    opened = _rows(cells, OPEN, OPENED)
+    opened = materialize(_rows(cells, OPEN, OPENED))
     places = materialize(opened.select("line").distinct().join(first, "line"))
     lines = texts = None
     if not places.isEmpty():
@@ -576,7 +576,7 @@ def gone_lines(
         )
         gone = gone.unionByName(_judge_open(opened, lines, edits, least, *job_chars))
     found = materialize(gone.distinct())
-    release(cells, near, places, texts, lines)
+    release(cells, opened, near, places, texts, lines)
     return found
 
 
