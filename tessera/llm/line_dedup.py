@@ -429,13 +429,61 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), a.dtype)
 
 
+def _proved(text, group: np.ndarray, left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each group has a near pair. Groups ascend from 0; a proof spares the pairs behind it, of which the next few go at a time."""
+    counts = np.bincount(group)
+    rank = np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+    near, tried, deep = np.zeros(len(counts), bool), 0, 1
+    while (some := ~near & (counts > tried)).any():
+        pick = np.flatnonzero(some[group] & (rank >= tried) & (rank < tried + deep))
+        used, at = np.unique(np.r_[left[pick], right[pick]], return_inverse=True)
+        same = near_pairs([text(u) for u in used.tolist()], at[: len(pick)], at[len(pick) :], most[pick])
+        near[group[pick[same]]] = True
+        tried, deep = tried + deep, 4 * deep
+    return near
+
+
+class _Shared:
+    """Which lines of a job meet under another key too, as a segment of one and a probe of the other."""
+
+    def __init__(self, segments: pa.ListArray, probes: pa.ListArray):
+        values = [x.flatten().to_numpy() for x in (segments, probes)]
+        self.owner = [np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()) for x in (segments, probes)]
+        self.keys = np.intersect1d(*values)
+        known = [np.isin(v, self.keys) for v in values]
+        self.owner = [o[k] for o, k in zip(self.owner, known, strict=True)]
+        self.code = [np.searchsorted(self.keys, v[k]) for v, k in zip(values, known, strict=True)]
+        self.size = len(segments)
+
+    def _matrix(self, role: int, rows: np.ndarray, first: int, width: int) -> np.ndarray:
+        at = np.full(self.size, -1)
+        at[rows] = np.arange(len(rows))
+        own, code = at[self.owner[role]], self.code[role] - first
+        some = (own >= 0) & (code >= 0) & (code < width)
+        out = np.zeros((len(rows), width), np.float32)
+        out[own[some], code[some]] = 1
+        return out
+
+    def __call__(self, left: np.ndarray, right: np.ndarray, step: int = 1024) -> np.ndarray:
+        met = np.zeros((len(left), len(right)), bool)
+        for first in range(0, len(self.keys), step):
+            width = min(step, len(self.keys) - first)
+            for role in (0, 1):
+                met |= self._matrix(role, left, first, width) @ self._matrix(1 - role, right, first, width).T > 0
+        return met
+
+
 def _standing(edits: int, least: int, block: int = 256, width: int = 4096):
-    """Lines of a job's side 0 that are near an earlier line of its side 1."""
+    """Lines of a job's side 0 that are near an earlier line of its side 1.
+
+    A row lists the smaller keys of its line; two lines that meet under one of those are left to its job.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side, line, doc, code, roles, size = (table.column(c).to_numpy() for c in ("side", "line", "doc_id", "code", "roles", "size"))
         histogram, text = table.column("histogram").to_numpy().astype(np.uint32), table.column("text").chunk(0)
+        shared = _Shared(table.column("segments").chunk(0), table.column("probes").chunk(0))
         most = bounds(size, edits, least)
         later, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         other, gone = other[np.lexsort((code[other], doc[other]))], []
@@ -445,20 +493,18 @@ def _standing(edits: int, least: int, block: int = 256, width: int = 4096):
                 i, j = left[:, None], other[None, to : to + width]
                 ok = ((roles[i] & 1) & (roles[j] >> 1)) | ((roles[i] >> 1) & (roles[j] & 1)) > 0
                 ok &= (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (code[j] < code[i]))
-                within = np.minimum(most[i], most[j])
-                ok &= np.abs(size[i] - size[j]) <= within
-                ok &= ~_apart(histogram[i], histogram[j], within)
-                near, tried, deep = np.zeros(len(left), bool), np.zeros(len(left), np.int64), 1
-                rank, rows = np.cumsum(ok, 1), ok.sum(1)
-                while (some := ~near & (tried < rows)).any():  # one proof is enough: the next few candidates of each line
-                    x, y = np.nonzero(ok & some[:, None] & (rank > tried[:, None]) & (rank <= tried[:, None] + deep))
-                    used, at_used = np.unique(np.r_[left[x], j[0, y]], return_inverse=True)
-                    words = [text[int(u)].as_py() for u in used]
-                    same = near_pairs(words, at_used[: len(x)], at_used[len(x) :], np.minimum(most[left[x]], most[j[0, y]]))
-                    near[x[same]] = True
-                    tried, deep = tried + deep, 2 * deep
-                gone.append(left[near])
-                left = left[~near]
+                ok &= np.abs(size[i] - size[j]) <= np.minimum(most[i], most[j])
+                if ok.any():
+                    ok &= ~shared(left, j[0])
+                x, y = np.nonzero(ok)
+                a, b = left[x], j[0, y]
+                within = np.minimum(most[a], most[b])
+                close = ~_apart(histogram[a], histogram[b], within)
+                rows, group = np.unique(x[close], return_inverse=True)
+                if len(rows):
+                    near = rows[_proved(lambda u: text[u].as_py(), group, a[close], b[close], within[close])]
+                    gone.append(left[near])
+                    left = np.delete(left, near)
         found = np.concatenate(gone) if gone else np.zeros(0, np.int64)
         return pa.table({"doc_id": pa.array(doc[found], pa.int64()), "code": pa.array(code[found], pa.int64())})
 
@@ -565,7 +611,8 @@ def gone_lines(
     release(placed, texts)
     gone = gone.unionByName(near.select("doc_id", "code"))
     opened = materialize(_rows(cells, OPEN, OPENED))
-    places = materialize(opened.select("line").distinct().join(first, "line"))
+    role = lambda bit: F.collect_list(F.when(F.col("roles").bitwiseAND(bit) > 0, F.col("key")))
+    places = materialize(opened.groupBy("line").agg(role(1).alias("segments"), role(2).alias("probes")).join(first, "line"))
     lines = texts = None
     if not places.isEmpty():
         standing = near.withColumn("standing", F.lit(False))
@@ -584,7 +631,8 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, lat
     """doc_id, code of the standing lines of open keys that are near an earlier line of the same key.
 
     The standing lines of a key, and all of its lines, are dealt into parts by
-    their characters; a job compares one part with another.
+    their characters; a job compares one part with another. Two lines that meet
+    under several keys are compared under the smallest.
     """
     weight = F.col("size") + 64
     facts = opened.join(lines.select("line", "size", "standing"), "line")
@@ -594,7 +642,8 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, lat
     rows = join_salted(opened, counts.where("blocks > 0"), "key", "line").join(lines, "line")
     deal = lambda seed, n: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "code", "size", "text")
+    smaller = [F.filter(c, lambda k: k < F.col("key")).alias(c) for c in ("segments", "probes")]
+    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "code", "size", "text", *smaller)
     later = rows.where("standing").withColumn("i", deal(0, "blocks")).withColumn("j", each("others")).withColumn("side", F.lit(0))
     other = rows.withColumn("i", each("blocks")).withColumn("j", deal(1, "others")).withColumn("side", F.lit(1))
     return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits, least), "doc_id long, code long")
