@@ -36,6 +36,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -550,14 +551,17 @@ def _rows(cells: DataFrame, kind: int, spec: str) -> DataFrame:
 def _near(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                texts = [*part.column("a_text").to_pylist(), *part.column("b_text").to_pylist()]
-                n = part.num_rows
-                size = np.array([len(t) for t in texts], np.int64)
-                most = bounds(np.minimum(size[:n], size[n:]), edits, least)
-                same = near_pairs(texts, np.arange(n), np.arange(n, 2 * n), most)
-                yield part.select(["later"]).filter(pa.array(same, pa.bool_()))
+            n, texts = batch.num_rows, [batch.column("a_text"), batch.column("b_text")]
+            if not n:
+                continue
+            a, b = (pc.utf8_length(t).to_numpy().astype(np.int64) for t in texts)
+            most = bounds(np.minimum(a, b), edits, least)
+            place = np.stack([batch.column("later").field(f).to_numpy() for f in ("doc_id", "code", "line")], 1)
+            _, head, group = np.unique(place, axis=0, return_index=True, return_inverse=True)
+            group = group.ravel()
+            order = np.lexsort((np.abs(a - b), group))  # the likeliest proof first
+            near = _proved(lambda u: texts[u // n][u % n].as_py(), group[order], order, order + n, most[order])
+            yield batch.select(["later"]).take(pa.array(head[near]))
 
     return run
 
