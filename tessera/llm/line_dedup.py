@@ -48,6 +48,8 @@ ENTRY, PLACE, GONE, FIRST, PAIR, OPEN = range(6)
 CHECK = (1 << 32) - 1
 #: An entry of a key that many lines share, for the second round.
 OPENED = "key long, line long, histogram long, roles int"
+#: The jobs that a line of a hot key is dealt to.
+JOBS = "array<struct<side:int,i:bigint,j:bigint>>"
 
 
 # --- edit distance --------------------------------------------------------------
@@ -645,12 +647,14 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, lat
     )
     rows = join_salted(opened, counts.where("blocks > 0"), "key", "line").join(lines, "line")
     deal = lambda seed, n: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    job = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    later = F.when(F.col("standing"), F.transform(each("others"), lambda j: job(0, deal(0, "blocks"), j)))
+    other = F.transform(each("blocks"), lambda i: job(1, i, deal(1, "others")))
     smaller = [F.filter(c, lambda k: k < F.col("key")).alias(c) for c in ("segments", "probes")]
-    columns = ("key", "i", "j", "side", "line", "histogram", "roles", "doc_id", "code", "size", "text", *smaller)
-    later = rows.where("standing").withColumn("i", deal(0, "blocks")).withColumn("j", each("others")).withColumn("side", F.lit(0))
-    other = rows.withColumn("i", each("blocks")).withColumn("j", deal(1, "others")).withColumn("side", F.lit(1))
-    return later.select(*columns).unionByName(other.select(*columns)).groupBy("key", "i", "j").applyInArrow(_standing(edits, least), "doc_id long, code long")
+    columns = ("key", "line", "histogram", "roles", "doc_id", "code", "size", "text", *smaller)
+    dealt = rows.select(*columns, F.explode(F.concat(F.coalesce(later, F.array().cast(JOBS)), other)).alias("job")).select("*", "job.*").drop("job")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_standing(edits, least), "doc_id long, code long")
 
 
 def dedup_lines(documents: DataFrame, *, edits: int = 2, least: int = 32, **options) -> DataFrame:
