@@ -81,7 +81,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mixture),
 ]
 
-#: The network and the edit join have no SQL form; tests hold ``run`` against a brute-force version.
+#: The network and the edit join have no SQL form; a test checks the invariants of each stage.
 ORACLE_SQL = None
 
 
