@@ -117,17 +117,19 @@ def near_pairs(texts: list[str], left: np.ndarray, right: np.ndarray, most: np.n
         return same
     used = np.unique(np.r_[left[todo], right[todo]])
     flat = np.frombuffer("".join(texts[i] for i in used.tolist()).encode("utf-32-le"), np.uint32)
-    alphabet, flat = np.unique(flat, return_inverse=True)
+    present = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    present[flat] = True
+    sigma, flat = int(present.sum()) + 1, (np.cumsum(present) - 1)[flat]
     starts = np.zeros(len(texts), np.int64)
     starts[used] = np.cumsum(size[used]) - size[used]
     todo = todo[np.lexsort((-size[right[todo]], most[todo]))]
     at = 0
     while at < len(todo):
         k, longest = int(most[todo[at]]), int(size[right[todo[at]]])
-        step = max(1, cells // max(len(alphabet) + 1, longest))
+        step = max(1, cells // max(sigma, longest))
         some = todo[at : at + step]
         some = some[most[some] == k]
-        same[some] = _near_group(flat, len(alphabet) + 1, k, *(x[y[some]] for y in (left, right) for x in (starts, size)))
+        same[some] = _near_group(flat, sigma, k, *(x[y[some]] for y in (left, right) for x in (starts, size)))
         at += len(some)
     return same
 
@@ -213,35 +215,38 @@ def bounds(size: np.ndarray, edits: int, least: int) -> np.ndarray:
     return bound(floors, edits)[np.searchsorted(floors, size, "right") - 1]
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n + 1 powers of BASE and of its inverse; kept for the next batch, which is about as long."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        _POWERS[:] = [np.full(n + 1, base, np.uint64) for base in (BASE, BASE_INVERSE)]
+        for p in _POWERS:
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+    return _POWERS[0], _POWERS[1]
+
+
 class Lines:
     """The eligible lines of a batch of texts: positions in one array of code points."""
 
     def __init__(self, texts: list[str], least: int):
-        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
-        self.flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        ends = np.cumsum([0, *map(len, codes)])
-        doc, number, start, stop, sums, hashes = [], [], [], [], [], []
-        for i, c in enumerate(codes):
-            cuts = np.flatnonzero(c == 10)
-            first, last = np.r_[0, cuts + 1], np.r_[cuts, len(c)]
-            keep = np.flatnonzero(last - first >= least)
-            doc.append(np.full(len(keep), i))
-            number.append(keep)
-            start.append(first[keep] + ends[i])
-            stop.append(last[keep] + ends[i])
-            own = [texts[i][a:b].encode() for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            sums.append(np.array([zlib.crc32(line) for line in own], np.int64))
-            hashes += [blake2b(line, digest_size=8).digest() for line in own]
-        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        self.doc, self.number, self.start, self.stop, check = map(join, (doc, number, start, stop, sums))
-        self.hash = np.frombuffer(b"".join(hashes), np.uint64)
-        self.code = self.number << 32 | check
+        self.flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([0, *map(len, texts)])
+        cuts = np.flatnonzero(self.flat == 10)
+        first = np.searchsorted(cuts, ends) + np.arange(len(ends))  # the number of lines before each text
+        doc = np.repeat(np.arange(len(texts)), np.diff(first))
+        start, stop = np.sort(np.r_[ends[:-1], cuts + 1]), np.sort(np.r_[cuts, ends[1:]])
+        keep = np.flatnonzero(stop - start >= least)
+        self.doc, self.start, self.stop = doc[keep], start[keep], stop[keep]
+        self.number = keep - first[self.doc]
+        places = zip(self.doc.tolist(), (self.start - ends[self.doc]).tolist(), (self.stop - ends[self.doc]).tolist(), strict=True)
+        own = [texts[i][a:b].encode() for i, a, b in places]
+        self.hash = np.frombuffer(b"".join([blake2b(line, digest_size=8).digest() for line in own]), np.uint64)
+        self.code = self.number << 32 | np.array([zlib.crc32(line) for line in own], np.int64)
         n = len(self.flat)
-        up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, BASE_INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        self.down = down
+        up, self.down = powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
         odd, shift = constants(2, 61)
         np.cumsum((self.flat.astype(np.uint64) * odd + shift) * up[:n], out=self.sums[1:])
@@ -365,13 +370,21 @@ def _cells(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def _bytes(histogram: np.ndarray) -> np.ndarray:
+    """The eight counts of each histogram, one in each byte of a 64-bit word."""
+    x = histogram.astype(np.uint64)
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F)):
+        x = (x | x << np.uint64(shift)) & np.uint64(mask)
+    return x
+
+
 def _apart(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Whether two histograms differ by more than ``most`` edits can explain: each edit moves two counts by one."""
-    total = np.zeros(np.broadcast(a, b).shape, np.int64)
-    for c in range(8):
-        d = ((a >> np.uint32(4 * c)) - (b >> np.uint32(4 * c))) & np.uint32(15)
-        total += np.minimum(d, 16 - d)
-    return total > 2 * most
+    each = np.uint64(0x0101010101010101)
+    d = (_bytes(a) + np.uint64(16) * each - _bytes(b)) & np.uint64(15) * each  # modulo 16, in all bytes at once
+    far = (d >> np.uint64(3) & each) * np.uint64(31)
+    d ^= (d ^ (np.uint64(16) * each - d)) & far  # the way round, where it is shorter
+    return ((d * each) >> np.uint64(56)).astype(np.int64) > 2 * most
 
 
 def _candidates(
@@ -383,7 +396,11 @@ def _candidates(
     those with its ``pivots`` earliest segments and probes, and its lines stay
     open (arrays like ``OPENED``; roles has bit 1 for a segment, 2 for a probe).
     """
-    order = np.lexsort((place, line, key))
+    order = np.argsort(key)
+    starts, sizes = runs(key[order] >> np.uint64(1))
+    role = key[order] & np.uint64(1)
+    order = order[np.repeat((role[starts] == 0) & (role[starts + sizes - 1] == 1), sizes)]  # keys that are segment and probe, the few
+    order = order[np.lexsort((place[order], line[order], key[order]))]
     key, line, histogram, place = key[order], line[order], histogram[order], place[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])] if len(key) else np.zeros(0, bool)
     key, line, histogram, place = key[fresh], line[fresh], histogram[fresh], place[fresh]
