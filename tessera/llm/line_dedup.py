@@ -633,9 +633,9 @@ def gone_lines(
     near = materialize(judged.select("later.*").distinct())
     release(placed, texts)
     gone = gone.unionByName(near.select("doc_id", "code"))
-    opened = materialize(_rows(cells, OPEN, OPENED))
-    role = lambda bit: F.collect_list(F.when(F.col("roles").bitwiseAND(bit) > 0, F.col("key")))
-    places = materialize(opened.groupBy("line").agg(role(1).alias("segments"), role(2).alias("probes")).join(first, "line"))
+    opened = _rows(cells, OPEN, OPENED)
+    met = opened.groupBy("line").agg(F.max("histogram").alias("histogram"), F.collect_list(F.struct("key", "roles")).alias("met"))
+    places = materialize(met.join(first, "line"))
     lines = texts = None
     if not places.isEmpty():
         standing = near.withColumn("standing", F.lit(False))
@@ -644,13 +644,13 @@ def gone_lines(
             places.join(texts, ["doc_id", "code"]).join(standing, ["line", "doc_id", "code"], "left")
             .withColumn("standing", F.coalesce("standing", F.lit(True))).withColumn("size", F.length("text").cast("long"))
         )
-        gone = gone.unionByName(_judge_open(opened, lines, edits, least, *job_chars))
+        gone = gone.unionByName(_judge_open(lines, edits, least, *job_chars))
     found = materialize(gone.distinct())
-    release(cells, opened, near, places, texts, lines)
+    release(cells, near, places, texts, lines)
     return found
 
 
-def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, later_chars: int, other_chars: int) -> DataFrame:
+def _judge_open(lines: DataFrame, edits: int, least: int, later_chars: int, other_chars: int) -> DataFrame:
     """doc_id, code of the standing lines of open keys that are near an earlier line of the same key.
 
     The standing lines of a key, and all of its lines, are dealt into parts by
@@ -658,17 +658,18 @@ def _judge_open(opened: DataFrame, lines: DataFrame, edits: int, least: int, lat
     under several keys are compared under the smallest.
     """
     weight = F.col("size") + 64
-    facts = opened.join(lines.select("line", "size", "standing"), "line")
+    facts = lines.select("line", "size", "standing", F.explode("met").alias("of")).select("*", "of.*")
     counts = facts.groupBy("key").agg(
         F.ceil(F.sum(F.when(F.col("standing"), weight)) / later_chars).alias("blocks"), F.ceil(F.sum(weight) / other_chars).alias("others")
     )
-    rows = join_salted(opened, counts.where("blocks > 0"), "key", "line").join(lines, "line")
+    rows = join_salted(facts.select("key", "line", "roles"), counts.where("blocks > 0"), "key", "line").join(lines, "line")
     deal = lambda seed, n: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(n))
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     job = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     later = F.when(F.col("standing"), F.transform(each("others"), lambda j: job(0, deal(0, "blocks"), j)))
     other = F.transform(each("blocks"), lambda i: job(1, i, deal(1, "others")))
-    smaller = [F.filter(c, lambda k: k < F.col("key")).alias(c) for c in ("segments", "probes")]
+    under = lambda bit: F.filter("met", lambda m: (m["key"] < F.col("key")) & (m["roles"].bitwiseAND(bit) > 0))["key"]
+    smaller = [under(1).alias("segments"), under(2).alias("probes")]
     columns = ("key", "line", "histogram", "roles", "doc_id", "code", "size", "text", *smaller)
     dealt = rows.select(*columns, F.explode(F.concat(F.coalesce(later, F.array().cast(JOBS)), other)).alias("job")).select("*", "job.*").drop("job")
     return dealt.groupBy("key", "i", "j").applyInArrow(_standing(edits, least), "doc_id long, code long")
