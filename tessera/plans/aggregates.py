@@ -50,6 +50,7 @@ sql("agg_string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nam
 sql("agg_first_last", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS f, arg_max(o_orderkey, o_orderkey) AS l FROM orders GROUP BY o_custkey",
     "SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS f, max_by(o_orderkey, o_orderkey) AS l FROM orders GROUP BY o_custkey")
 sql("agg_covariance", "SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 2) AS c, round(regr_slope(l_extendedprice, l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag")
-sql("agg_approx_distinct", "SELECT true AS near", "SELECT abs(approx_count_distinct(o_custkey, 0.02) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders")
+# a value's repeats change no sketch, so both counts read the distinct keys; beside count(DISTINCT), Spark would keep a sketch of 3 KB for each key
+sql("agg_approx_distinct", "SELECT true AS near", "SELECT abs(approx_count_distinct(k, 0.02) - count(k)) <= 0.1 * count(k) AS near FROM (SELECT DISTINCT o_custkey AS k FROM orders) t")
 sql("agg_decimal_global", "SELECT sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS s, CAST(count(*) AS BIGINT) AS n FROM customer", "SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS DECIMAL(38, 2)) AS s, count(*) AS n FROM customer")
 sql("agg_decimal_global_empty", "SELECT sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS s, avg(c_acctbal) AS a FROM customer WHERE c_custkey < 0", "SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(15, 2))) AS DECIMAL(38, 2)) AS s, avg(c_acctbal) AS a FROM customer WHERE c_custkey < 0")

@@ -119,3 +119,15 @@ def test_pairs_of_one_group_come_from_many_tasks(spark, tmp_path):
     assert wanted["n"] == 9 * 2000 * 1999 // 2
     assert (sum(t["n"] for t in tasks), sum(t["h"] for t in tasks)) == tuple(wanted)
     assert max(t["n"] for t in tasks) <= wanted["n"] / 3
+
+
+def test_sketch_is_kept_for_the_table_not_for_each_key(spark, sf_dir):
+    plan = plan_of(catalogue.queries()["agg_approx_distinct"](spark, sf_dir))
+    grouped = [line for line in plan.split("\n") if "Aggregate(keys=[" in line and "keys=[]" not in line]
+    assert grouped and not any("approx_count_distinct" in line for line in grouped), plan
+
+
+def test_sketch_of_distinct_keys_is_that_of_all_rows(spark):
+    rows = spark.range(50_000, numPartitions=5).select(F.when(F.col("id") % 11 > 0, F.pmod(F.hash("id"), F.lit(9000))).cast("long").alias("k"))
+    counts = [F.approx_count_distinct("k", 0.02), F.count_distinct("k")]
+    assert rows.select(*counts).first() == rows.distinct().select(*counts).first()
